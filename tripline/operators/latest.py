@@ -17,16 +17,20 @@ def latest_per_key(df: DataFrame, keys: list[str], time_col: str, tie_break: lis
     return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
-def first_seen_flag(df: DataFrame, key: str, time_col: str, tie_break: list[str], flag: str) -> DataFrame:
+def first_seen_flag(df: DataFrame, keys: list[str], time_col: str, tie_break: list[str], flag: str) -> DataFrame:
     """Add a boolean that is true on exactly one row per key: its earliest one.
 
     One window per key would sort a hot key in a single task. Here the earliest
     time comes from a partially aggregated minimum, and rows are ranked only
     against rows of the same key *and* time, which settles ties.
     """
-    firsts = df.groupBy(F.col(key).alias("_key")).agg(F.min(time_col).alias("_first"))
-    same_moment = Window.partitionBy(key, time_col).orderBy(*tie_break)
+    firsts = df.groupBy(*[F.col(name).alias(f"_k_{name}") for name in keys]).agg(F.min(time_col).alias("_first"))
+    same_moment = Window.partitionBy(*keys, time_col).orderBy(*tie_break)
     ranked = df.withColumn("_rank", F.row_number().over(same_moment))
-    joined = ranked.join(firsts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    same_key = [F.col(name).eqNullSafe(F.col(f"_k_{name}")) for name in keys]
     is_first = F.col(time_col).eqNullSafe(F.col("_first")) & (F.col("_rank") == 1)
-    return joined.withColumn(flag, is_first).drop("_key", "_first", "_rank")
+    return (
+        ranked.join(firsts, same_key, "left")
+        .withColumn(flag, is_first)
+        .drop("_first", "_rank", *[f"_k_{name}" for name in keys])
+    )

@@ -138,7 +138,7 @@ def delegation_with_key_origin(
     known_ips = org_ip.where(F.col("specific_source_type") == KNOWN_SOURCE_TYPE)
     flagged = flag_known(created, "sa_creation_caller_ip", known_ips, "ip", "known_organization_ip")
     ties = ["gcp_project_id", "gcp_caller_email", "sa_creation_caller_ip", "sa_creation_user_agent"]
-    keyed = first_seen_flag(flagged, "oauth_client_id", "key_creation_time", ties, "is_first").withColumn(
+    keyed = first_seen_flag(flagged, ["oauth_client_id"], "key_creation_time", ties, "is_first").withColumn(
         "sa_key_state", F.when(F.col("is_first"), F.lit(FIRST_KEY)).otherwise(F.lit(LATER_KEY))
     )
     grants = (
