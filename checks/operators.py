@@ -225,7 +225,7 @@ SUFFIX_JOIN = """
 SELECT file
 FROM (SELECT concat(c_name, '-', lpad(CAST(c_custkey AS VARCHAR), 12, '0'), '.json') AS file FROM customer)
 JOIN (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS project FROM supplier)
-  ON regexp_full_match(file, project || '-[a-z0-9]{12}[.]json')
+  ON starts_with(file, project) AND regexp_full_match(substr(file, length(project) + 1), '-[a-z0-9]{12}[.]json')
 """
 
 
@@ -412,17 +412,13 @@ def overlapping_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 40).alias("owner"),
         F.trunc("l_shipdate", "month").cast("timestamp_ntz").alias("start"),
         (F.col("l_partkey") % 25).alias("element"),
-        "l_returnflag",
+        (F.col("l_returnflag") == "R").alias("is_earlier"),
     )
-
-    def sets(side: DataFrame) -> DataFrame:
-        members = side.select("owner", "start", "element").distinct()
-        sizes = members.groupBy("owner", "start").agg(F.count("*").alias("size")).where(F.col("size") >= 6)
-        named = F.concat_ws("/", "owner", F.col("start").cast("date"))
-        return members.join(sizes, ["owner", "start"]).withColumn("set_id", named)
-
-    returned = F.col("l_returnflag") == "R"
-    return overlap_join(sets(lines.where(returned)), sets(lines.where(~returned)), 40, 0.75)
+    members = lines.distinct()
+    keys = ["owner", "start", "is_earlier"]
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") >= 6)
+    set_id = F.concat_ws("/", "owner", F.col("start").cast("date"))
+    return overlap_join(members.join(sizes, keys).withColumn("set_id", set_id), 40, 0.75)
 
 
 OVERLAPPING_BASKETS = """

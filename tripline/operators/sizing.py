@@ -22,33 +22,39 @@ from pyspark.sql import types as T
 from tripline.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Object overhead of one row in a broadcast hash table.
+# Bytes a row costs in a broadcast hash table besides its values, and a value besides its text.
 _ROW_OVERHEAD = 64
+_VALUE_OVERHEAD = 16
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
 class Settled:
-    """A materialised DataFrame with its row count."""
+    """A stored DataFrame of flat columns with the memory its rows take."""
 
     df: DataFrame
-    rows: int
+    bytes: int
 
 
 def settle(df: DataFrame) -> Settled:
-    """Write ``df`` to the checkpoint folder, read it back and count it."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid4().hex}"
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    return Settled(kept, kept.count())
+    """Store a rare side and measure it."""
+    kept = stored(df)
+    return Settled(kept, measured_bytes(kept))
 
 
 def _row_bytes(df: DataFrame) -> Column:
     def width(field: T.StructField) -> Column:
         if isinstance(field.dataType, T.StringType):
-            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-        return F.lit(16)
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + _VALUE_OVERHEAD
+        return F.lit(_VALUE_OVERHEAD)
 
     return reduce(add, [width(field) for field in df.schema.fields], F.lit(_ROW_OVERHEAD))
 
@@ -64,13 +70,12 @@ def narrow_to_keys(
     """Keep the rows of ``big`` that can join ``rare``; ``on`` maps big to rare columns.
 
     The result is only ever joined to ``rare`` on the same columns, so dropping
-    the other rows changes nothing. When the keys are too many to broadcast,
-    ``big`` is returned as it is.
+    the other rows changes nothing. When ``rare`` is too large to broadcast its
+    keys, ``big`` is returned as it is.
     """
+    if rare.bytes > max_bytes:
+        return big
     names = {right: f"_key_{position}" for position, right in enumerate(on.values())}
     keys = rare.df.select(*[F.col(old).alias(new) for old, new in names.items()]).dropna().distinct()
-    # A row count alone settles the plainly oversized case without a second job.
-    if rare.rows * _ROW_OVERHEAD > max_bytes or measured_bytes(keys) > max_bytes:
-        return big
     matches = [F.col(left) == F.col(names[right]) for left, right in on.items()]
     return big.join(F.broadcast(keys), matches, "left_semi")

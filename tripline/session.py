@@ -32,6 +32,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        # Local tables are tiny: keep every core busy rather than partitions large.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
