@@ -1,0 +1,204 @@
+from __future__ import annotations
+
+import pytest
+
+from tests.conftest import final_plan
+from tripline import plans
+from tripline.operators import sizing
+
+AS_OF = "2024-01-31 00:00:00"
+EDGE = "2024-01-01 00:00:00"  # exactly 30 days before
+NOW = "2024-01-30 00:00:00"
+
+
+def process(command=None, time=NOW, **changes):
+    return {
+        "event_time": time, "agent_id": "a", "device_platform": "WINDOWS", "target_process_commandline": command,
+        **changes,
+    }
+
+
+def test_webdav_script_execution(table):
+    rows = [
+        process(r"C:\wscript.exe \\h@80\x.jse", time="2024-01-30 00:00:02"),
+        process(r"C:\WSCRIPT.EXE \\H@80\X.JSE", time="2024-01-30 00:00:01"),
+        process(r"C:\WSCRIPT.EXE \\H@80\X.JSE", time="2024-01-30 00:00:01"),
+        process(r"wscript.exe \\h\x.jse"),
+        process(r"wscript.exe \\h@80\x.js"),
+        process(r"cscript.exe \\h@80\x.jse"),
+        process(r"wscript.exe \\h@80\x.jse", time=EDGE),
+        process(None),
+    ]
+    result = plans.webdav_script_execution(table("edr_process", rows), AS_OF)
+    assert [r["event_time"].second for r in result.collect()] == [1, 2]
+    assert result.columns == ["event_time", "agent_id", "target_process_commandline"]
+
+
+def dav(host, **changes):
+    changes.setdefault("initiating_process_name", "svchost.exe")
+    command = rf"rundll32.exe C:\Windows\system32\davclnt.dll,DavSetCookie {host} http://{host}/p/f.exe"
+    return process(command, **changes)
+
+
+def test_webdav_retrieval_hosts(table):
+    rows = [
+        dav("Files.example.com"),
+        dav("files.example.com", agent_id="b"),
+        dav("files.example.com", agent_id="b"),
+        dav("a.example.com:8080", initiating_process_name=None),
+        dav("initiator.example.com", initiating_process_name="explorer.exe"),
+        dav("linux.example.com", device_platform="LINUX"),
+        dav("old.example.com", time=EDGE),
+        dav("intranet"),
+        process("rundll32.exe davclnt.dll,DavSetCookie x http://x.example.com/", initiating_process_name="svchost.exe"),
+        process(r"rundll32.exe C:\Windows\system32\davclnt.dll,DavSetCookie none"),
+    ]
+    outside = [
+        "172.15.0.1", "172.32.0.1", "100.63.0.1", "100.128.0.1", "198.17.0.1", "198.20.0.1", "223.0.0.1", "11.0.0.1"
+    ]
+    inside = [
+        "172.16.0.1", "172.31.0.1", "100.64.0.1", "100.127.0.1", "198.18.0.1", "198.19.0.1", "224.0.0.1",
+        "239.0.0.1", "240.0.0.1", "255.0.0.1", "10.0.0.1", "LOCALHOST:80.x", "fe80.x",
+    ]
+    rows += [dav(host) for host in outside + inside]
+    found = plans.webdav_retrieval_hosts(table("edr_process", rows), AS_OF).collect()
+    hosts = [r["target_server"] for r in found]
+    assert hosts == sorted([*outside, "files.example.com", "a.example.com:8080"])
+    files = next(r for r in found if r["target_server"] == "files.example.com")
+    assert (files["distinct_aids"], files["distinct_cmdlines"]) == (2, 1)
+    assert "Files" in files["example_target_process_commandline"]
+
+
+COM_HOST = r"C:\windows\System32\dllhost.exe /Processid:{3E5FC7F9-9A51-4367-9063-A120244FBEC7}"
+
+
+def raw(aid, time, **changes):
+    return {"aid": aid, "event_time": f"2024-01-30 {time}", "event_name": "ProcessRollup2", **changes}
+
+
+def com_incident(aid, child_time="10:05:00", client_time="09:59:00", **child):
+    child = {"integrity_level_description": "high_integrity", "command_line": "child", **child}
+    return [
+        raw(aid, client_time, target_process_id="cl", command_line="client", image_file_name="i"),
+        raw(aid, "10:00:00", target_process_id="h", rpc_client_process_id="cl", command_line=COM_HOST),
+        raw(aid, child_time, target_process_id="ch", parent_process_id="h", **child),
+    ]
+
+
+@pytest.fixture
+def com_rows():
+    rows = com_incident("plain")
+    rows += com_incident("last moment", child_time="10:10:00", client_time="09:50:00")
+    rows += com_incident("late child", child_time="10:10:01")
+    rows += com_incident("early child", child_time="09:59:59")
+    rows += com_incident("lost client", client_time="09:49:59")
+    rows += com_incident("medium", integrity_level_description="medium_integrity")
+    rows += [dict(row, event_name="RegUpdate") for row in com_incident("no process")]
+    rows += [dict(row, event_time="2023-12-01 10:00:00") for row in com_incident("old")]
+    rows += [dict(r, command_line=(r["command_line"] + " x")) for r in com_incident("other end")]
+    rows += com_incident("twice") + com_incident("twice")
+    rows += com_incident("no client")
+    rows[-2]["rpc_client_process_id"] = None
+    return rows
+
+
+@pytest.mark.parametrize("max_bytes", [sizing.MAX_BROADCAST_BYTES, 0])
+def test_elevated_com_children(table, com_rows, monkeypatch, max_bytes):
+    # With a bound of zero nothing is broadcast: the shuffled join gives the same rows.
+    monkeypatch.setattr(sizing.narrow_to_keys, "__defaults__", (max_bytes,))
+    result = plans.elevated_com_children(table("edr_raw", com_rows), AS_OF)
+    found = result.collect()
+    assert {(r["agent_id"], r["uac_bypass_initiating_command_line"]) for r in found} == {
+        ("plain", "client"), ("last moment", "client"), ("lost client", None), ("twice", "client"), ("no client", None)
+    }
+    assert len(found) == 5
+    times = [r["elevated_process_creation_time"] for r in found]
+    assert times == sorted(times)
+    assert len(result.columns) == 9
+    plan = final_plan(result)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_consent_prompt_disabled(table):
+    def write(process_id, **changes):
+        return {
+            "event_time": NOW, "aid": "a", "event_name": "RegSystemConfigValueUpdate", "registry_int_value_data": 0,
+            "registry_key": r"HKLM\Software\Microsoft\Windows\CurrentVersion\Policies\System",
+            "registry_value_name": "ConsentPromptBehaviorAdmin", "registry_operation_type": "1",
+            "initiating_process_id": process_id, **changes,
+        }
+
+    writes = [
+        write("u1"),
+        write("u1"),
+        write("unknown", event_time="2024-01-29 00:00:00"),
+        write("value one", registry_int_value_data=1),
+        write("no value", registry_int_value_data=None),
+        write("other value", registry_value_name="EnableLUA"),
+        write("deeper", registry_key=r"HKLM\Software\Microsoft\Windows\CurrentVersion\Policies\System\X"),
+        write("read", registry_operation_type="2"),
+        write("other event", event_name="RegValueRead"),
+        write("old", event_time=EDGE),
+    ]
+    processes = [
+        process("cmd one", target_process_uid="u1", target_process_hash="h", target_process_hash_sha256="s"),
+        process("cmd two", time="2024-01-30 12:00:00", target_process_uid="u1"),  # time plays no part
+        process("other agent", target_process_uid="u1", agent_id="b"),
+        process("old", target_process_uid="u1", time=EDGE),
+    ]
+    result = plans.consent_prompt_disabled(table("edr_raw", writes), table("edr_process", processes), AS_OF)
+    found = [(r["initiating_process_id"], r["initiating_process_command_line"]) for r in result.collect()]
+    assert found[0] == ("unknown", None) and sorted(found[1:]) == [("u1", "cmd one"), ("u1", "cmd two")]
+    assert {r["initiating_process_hash"] for r in result.collect()} == {None, "h"}
+    assert result.columns == [
+        "event_time", "aid", "event_name", "registry_key", "registry_value_name", "registry_str_value_data",
+        "registry_int_value_data", "registry_operation_type", "initiating_process_id",
+        "initiating_process_command_line", "initiating_process_hash",
+    ]
+
+
+HTA_CASES = [
+    ("mshta.exe", "mshta HTTP://x", True),
+    ("MSHTA.EXE", r"mshta c:\USERS\public\a.hta", True),
+    ("mshta.exe", "mshta local.hta", False),
+    ("rundll32.exe", "RunDll32 MSHTML,RunHTMLApplication new ActiveXObject", True),
+    ("rundll32.exe", "rundll32 mshtml,RunHTMLApplication", False),
+    (None, "rundll32 x mshtml wscript", True),
+    ("other.exe", "http://x", False),
+    ("mshta.exe", None, False),
+]
+
+
+@pytest.mark.parametrize(
+    ("job", "source", "side"),
+    [
+        (plans.hta_target, "edr_process", "target"),
+        (plans.hta_children, "edr_process", "initiating"),
+        (plans.hta_network, "edr_network", "initiating"),
+        (plans.hta_files, "edr_file", "initiating"),
+    ],
+)
+def test_hta_jobs(table, job, source, side):
+    shown = "target_process_commandline" if source == "edr_process" else "initiating_process_commandline"
+
+    def row(name, command, **changes):
+        return {
+            "event_time": NOW, "device_platform": "WINDOWS", f"{side}_process_name": name, shown: command,
+            f"{side}_process_commandline": command, **changes,
+        }
+
+    rows = [row(name, command) for name, command, _ in HTA_CASES]
+    rows += [
+        row("mshta.exe", "http edge", event_time=EDGE),
+        row("mshta.exe", "http before", event_time="2023-12-31 23:59:59"),
+        row("mshta.exe", "http linux", device_platform="LINUX"),
+        row("mshta.exe", "http no platform", device_platform=None),
+        row("mshta.exe", "mshta HTTP://x"),
+    ]
+    distinct = source == "edr_process"
+    found = job(table(source, rows), AS_OF).collect()
+    twice = [] if distinct else ["mshta HTTP://x"]
+    assert sorted(r[shown] for r in found) == sorted([c for _, c, fits in HTA_CASES if fits] + ["http edge"] + twice)
+    assert str(found[0]["event_time"]) == EDGE
+    assert job(table(source, rows), AS_OF, limit=1).count() == 1
+    assert job(table(source, rows), AS_OF, days=29).count() < len(found)
