@@ -249,14 +249,19 @@ def test_a_hot_element_makes_few_candidates(spark):
 
 
 def test_narrowing_broadcasts_only_within_the_bound(spark):
-    rare = settle(spark.createDataFrame([("a", "1"), ("b", None)], "ra string, rb string"))
+    rare = settle(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None)], "ra string, rb string"))
     assert rare.bytes == measured_bytes(rare.df) > 0
-    big = spark.range(1000).select(F.lit("a").alias("x"), (F.col("id") % 5).cast("string").alias("y"))
-    narrowed = narrow_to_keys(big, {"x": "ra", "y": "rb"}, rare)
-    assert narrowed.count() == 200
-    plan = narrowed._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
-    assert narrow_to_keys(big, {"x": "ra", "y": "rb"}, rare, max_bytes=rare.bytes - 1) is big
+    big = spark.range(1000).select(
+        F.when(F.col("id") < 900, F.lit("a")).alias("x"),
+        (F.col("id") % 5).cast("string").alias("y"),
+        (F.col("id") % 100).cast("string").alias("z"),
+    )
+    by_y, by_z = {"x": "ra", "y": "rb"}, {"x": "ra", "z": "rb"}
+    assert narrow_to_keys(big, [by_y], rare).count() == 180
+    both = narrow_to_keys(big, [by_y, by_z], rare)
+    assert both.columns == big.columns
+    assert rows(both) == rows(big.where("x = 'a' and (y = '1' or z = '1')"))
+    assert narrow_to_keys(big, [by_y], rare, max_bytes=rare.bytes - 1) is big
 
 
 def test_stored_keeps_rows_and_cuts_lineage(spark):

@@ -64,18 +64,31 @@ def measured_bytes(df: DataFrame) -> int:
     return df.select(F.sum(_row_bytes(df)).alias("size")).first()["size"] or 0
 
 
+def _keys(rare: Settled, on: dict[str, str], mark: str) -> tuple[DataFrame, list[str]]:
+    names = [f"{mark}_{position}" for position in range(len(on))]
+    columns = [F.col(old).alias(new) for old, new in zip(on.values(), names)]
+    return rare.df.select(*columns).dropna().distinct(), names
+
+
 def narrow_to_keys(
-    big: DataFrame, on: dict[str, str], rare: Settled, max_bytes: int = MAX_BROADCAST_BYTES
+    big: DataFrame, alternatives: list[dict[str, str]], rare: Settled, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
-    """Keep the rows of ``big`` that can join ``rare``; ``on`` maps big to rare columns.
+    """Keep the rows of ``big`` that can join ``rare`` in one of several ways, in one pass.
 
-    The result is only ever joined to ``rare`` on the same columns, so dropping
-    the other rows changes nothing. When ``rare`` is too large to broadcast its
-    keys, ``big`` is returned as it is.
+    Each alternative maps columns of ``big`` to columns of ``rare``. The result
+    is only ever joined to ``rare`` on such columns, so dropping the other rows
+    changes nothing. It is stored: what is left of ``big`` is small, and the
+    planner should know. When ``rare`` is too large to broadcast its keys,
+    ``big`` is returned as it is and the later joins shuffle it.
     """
     if rare.bytes > max_bytes:
         return big
-    names = {right: f"_key_{position}" for position, right in enumerate(on.values())}
-    keys = rare.df.select(*[F.col(old).alias(new) for old, new in names.items()]).dropna().distinct()
-    matches = [F.col(left) == F.col(names[right]) for left, right in on.items()]
-    return big.join(F.broadcast(keys), matches, "left_semi")
+    marked = big
+    found = F.lit(False)
+    for number, on in enumerate(alternatives):
+        mark = f"_alternative_{number}"
+        keys, names = _keys(rare, on, mark)
+        matches = [F.col(column) == F.col(name) for column, name in zip(on, names)]
+        marked = marked.join(F.broadcast(keys.withColumn(mark, F.lit(True))), matches, "left")
+        found = found | F.col(mark).isNotNull()
+    return stored(marked.where(found).select(*big.columns))

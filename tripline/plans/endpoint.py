@@ -76,8 +76,8 @@ def elevated_com_children(
 
     The child starts at most ``within_seconds`` after the host, the client at
     most as long before it; a host whose client is not in the log is kept.
-    Hosts are rare, so they are written once and all other processes are reduced
-    to those that can join one.
+    Hosts are rare, so they are written once, and one pass over the other
+    processes keeps the possible children and clients.
     """
     processes = recent(edr_raw, "event_time", days, as_of).where(like_raw("event_name", PROCESS_EVENTS))
     hosts = settle(
@@ -88,7 +88,25 @@ def elevated_com_children(
             F.col("rpc_client_process_id").alias("client_pid_of_host"),
         )
     )
-    children = processes.where(F.col("integrity_level_description") == HIGH_INTEGRITY).select(
+    related = narrow_to_keys(
+        processes.select(
+            "event_time",
+            "aid",
+            "event_name",
+            "image_file_name",
+            "command_line",
+            "target_process_hash",
+            "target_process_id",
+            "parent_process_id",
+            "integrity_level_description",
+        ),
+        [
+            {"aid": "host_aid", "parent_process_id": "host_pid"},
+            {"aid": "host_aid", "target_process_id": "client_pid_of_host"},
+        ],
+        hosts,
+    )
+    children = related.where(F.col("integrity_level_description") == HIGH_INTEGRITY).select(
         F.col("event_time").alias("elevated_process_creation_time"),
         F.col("aid").alias("agent_id"),
         F.col("parent_process_id").alias("child_parent_pid"),
@@ -97,7 +115,7 @@ def elevated_com_children(
         F.col("target_process_hash").alias("elevated_process_hash"),
         F.col("integrity_level_description").alias("target_elevated_proc_integrity_level"),
     )
-    clients = processes.select(
+    clients = related.select(
         F.col("event_time").alias("client_time"),
         F.col("aid").alias("client_aid"),
         F.col("target_process_id").alias("client_pid"),
@@ -105,8 +123,6 @@ def elevated_com_children(
         F.col("command_line").alias("uac_bypass_initiating_command_line"),
         F.col("target_process_hash").alias("initiating_process_hash"),
     )
-    children = narrow_to_keys(children, {"agent_id": "host_aid", "child_parent_pid": "host_pid"}, hosts)
-    clients = narrow_to_keys(clients, {"client_aid": "host_aid", "client_pid": "client_pid_of_host"}, hosts)
     with_child = interval_join(
         hosts.df,
         children,
@@ -180,7 +196,7 @@ def consent_prompt_disabled(
         F.col("target_process_hash").alias("initiating_process_hash"),
     )
     on = {"agent_id": "aid", "target_process_uid": "initiating_process_id"}
-    processes = narrow_to_keys(processes, on, writes)
+    processes = narrow_to_keys(processes, [on], writes)
     same_process = [F.col(a) == F.col(b) for a, b in on.items()]
     return (
         writes.df.join(processes, same_process, "left").drop("agent_id", "target_process_uid").orderBy("event_time")
