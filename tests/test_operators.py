@@ -196,9 +196,10 @@ def _random_sets(rng, side, owners=2, sets=40):
 
 
 @pytest.mark.parametrize("ratio", [0.75, 0.5, 1.0, 0.3])
-@pytest.mark.parametrize("slice_size", [50_000, 3])
-def test_overlap_join_equals_all_pairs(spark, monkeypatch, ratio, slice_size):
+@pytest.mark.parametrize(("slice_size", "meetings"), [(50_000, 5), (3, 2), (3, 1)])
+def test_overlap_join_equals_all_pairs(spark, monkeypatch, ratio, slice_size, meetings):
     monkeypatch.setattr(overlap, "PREFIX_SLICE", slice_size)
+    monkeypatch.setattr(overlap, "MEETINGS", meetings)
     rng = random.Random(int(ratio * 100))
     earlier, later = _random_sets(rng, "e"), _random_sets(rng, "l")
     # Edges: exactly seven days apart, the same start, one second too far.
@@ -244,7 +245,7 @@ def test_a_hot_element_makes_few_candidates(spark):
         made, "set_id string, is_earlier boolean, owner string, start timestamp_ntz, size long, element string"
     )
     prefix = overlap.rare_prefix(df, 0.75)
-    assert prefix.count() == 0  # the three rarest of eight never include the hot one
+    assert prefix.count() == 0  # the seven rarest of eight never include the hot one
     assert overlap.overlap_join(df, 7, 0.75).count() == 0
 
 
