@@ -16,7 +16,7 @@ from tripline.operators.intervals import interval_join
 from tripline.operators.latest import first_seen_flag, latest_per_key
 from tripline.operators.lookups import exclude_known, flag_known, keep_known, novel_vs_baseline, suffix_pattern_join
 from tripline.operators.sizing import measured_bytes, narrow_to_keys, settle, stored
-from tripline.functions.timeops import time_slice
+from tripline.functions.timeops import span, time_slice
 
 START = datetime(2024, 1, 1)
 NO_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -270,3 +270,56 @@ def test_stored_keeps_rows_and_cuts_lineage(spark):
     kept = stored(df)
     assert kept.count() == 6
     assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_novelty_joins_the_aggregate_when_the_baseline_is_large(spark):
+    """A hot caller must reach a shuffled novelty join as aggregated rows."""
+    calls = spark.range(1000).select(
+        F.lit("u").alias("actor"), F.lit("m").alias("method"), (F.col("id") % 3).cast("string").alias("ip"), "id"
+    )
+    reduced = calls.groupBy("actor", "method", "ip").agg(F.max("id").alias("latest"))
+    baseline = calls.where("id < 2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        novel = novel_vs_baseline(reduced, baseline, ["actor", "method"], "ip")
+        assert [(r["ip"], r["latest"]) for r in novel.collect()] == [("2", 998)]
+        plan = novel._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.index("LeftAnti") < plan.index("Aggregate")
+
+
+def test_skewed_lookup_join_is_split(spark):
+    """The adaptive skew join splits a key that holds a third of the rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).cast("string")
+        df = spark.range(0, 60000, 1, 8).select(
+            "id", key.alias("ip"), F.lit("m").alias("m"), (F.expr("timestamp_ntz'2024-01-01'") + span(1, "SECOND") * F.col("id")).alias("t")
+        )
+        lookup = spark.range(0, 60000, 2).select(F.col("id").cast("string").alias("ip"), F.lit("m").alias("m"))
+        hot = lookup.where("ip < '5'").unionByName(spark.sql("select '-1' as ip, 'm' as m"))
+        hot_matches = hot.join(df.select("ip"), "ip", "left_semi").count() - 1 + 20000
+        for joined, expected in (
+            (exclude_known(df, "ip", lookup, "ip"), 40000),
+            (keep_known(df, "ip", hot, "ip"), hot_matches),
+            (flag_known(df, "ip", lookup, "ip", "known").where("not known"), 40000),
+            (novel_vs_baseline(df, lookup, ["ip"], "m"), 40000),
+            (first_seen_flag(df, ["ip"], "t", ["id"], "first").where("not first"), 19999),
+        ):
+            assert joined.count() == expected
+            assert "skew=true" in final_plan(joined)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

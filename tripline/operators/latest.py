@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripline.operators.sizing import apart
+
 
 def latest_per_key(df: DataFrame, keys: list[str], time_col: str, tie_break: list[str]) -> DataFrame:
     """The row with the highest time of each key; ties go to the highest ``tie_break``.
@@ -24,7 +26,11 @@ def first_seen_flag(df: DataFrame, keys: list[str], time_col: str, tie_break: li
     time comes from a partially aggregated minimum, and rows are ranked only
     against rows of the same key *and* time, which settles ties.
     """
-    firsts = df.groupBy(*[F.col(name).alias(f"_k_{name}") for name in keys]).agg(F.min(time_col).alias("_first"))
+    firsts = (
+        df.groupBy(*[F.col(name).alias(f"_k_{name}") for name in keys], apart(keys).alias("_apart"))
+        .agg(F.min(time_col).alias("_first"))
+        .drop("_apart")
+    )
     same_moment = Window.partitionBy(*keys, time_col).orderBy(*tie_break)
     ranked = df.withColumn("_rank", F.row_number().over(same_moment))
     same_key = [F.col(name).eqNullSafe(F.col(f"_k_{name}")) for name in keys]

@@ -1,7 +1,7 @@
 """Joins against a lookup or a learned baseline.
 
-Lookups are reduced to distinct non-null values first. No broadcast hint is
-given: Spark broadcasts a lookup when its size is under
+Lookups are reduced to distinct values first. No broadcast hint is given: Spark
+broadcasts a lookup when its size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides,
 where the adaptive skew join splits a hot key.
 """
@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.functions.predicates import full_match
+from tripline.operators.sizing import apart
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows, laid out so that a join on all their columns can be split."""
+    return df.withColumn("_apart", apart(df.columns)).distinct().drop("_apart")
 
 
 def distinct_values(lookup: DataFrame, column: str, alias: str) -> DataFrame:
-    return lookup.select(F.col(column).alias(alias)).where(F.col(alias).isNotNull()).distinct()
+    return distinct_rows(lookup.select(F.col(column).alias(alias)).where(F.col(alias).isNotNull()))
 
 
 def flag_known(df: DataFrame, column: str, lookup: DataFrame, lookup_column: str, flag: str) -> DataFrame:
@@ -55,10 +61,12 @@ def novel_vs_baseline(df: DataFrame, baseline: DataFrame, exact: list[str], opti
     """
     known = baseline.where(F.col(optional).isNotNull()).select(*exact, optional)
     nothing = F.lit(None).cast(known.schema[optional].dataType)
-    patterns = known.select(
-        *[F.col(name).alias(f"_b_{name}") for name in exact],
-        F.explode(F.array(F.col(optional), nothing)).alias(f"_b_{optional}"),
-    ).distinct()
+    patterns = distinct_rows(
+        known.select(
+            *[F.col(name).alias(f"_b_{name}") for name in exact],
+            F.explode(F.array(F.col(optional), nothing)).alias(f"_b_{optional}"),
+        )
+    )
     matches = [F.col(name) == F.col(f"_b_{name}") for name in exact]
     matches.append(F.col(optional).eqNullSafe(F.col(f"_b_{optional}")))
     return df.join(patterns, matches, "left_anti")

@@ -36,6 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(keys: list[str]) -> Column:
+    """An extra grouping column, computed from the keys, for aggregates that are joined on them.
+
+    The aggregate would otherwise arrive at the join already partitioned by the
+    join key. Spark then adds no exchange of its own on that side, and without
+    one on both sides the adaptive skew join cannot split a hot key.
+    """
+    return F.pmod(F.xxhash64(*keys), F.lit(16))
+
+
 @dataclass(frozen=True)
 class Settled:
     """A stored DataFrame of flat columns with the memory its rows take."""
