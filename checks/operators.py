@@ -16,6 +16,7 @@ from tripline.operators.intervals import interval_join
 from tripline.operators.latest import first_seen_flag, latest_per_key
 from tripline.operators.lookups import exclude_known, flag_known, keep_known, novel_vs_baseline, suffix_pattern_join
 from tripline.operators.overlap import overlap_join
+from tripline.operators.sizing import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -418,7 +419,8 @@ def overlapping_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["owner", "start", "is_earlier"]
     sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") >= 6)
     set_id = F.concat_ws("/", "owner", F.col("start").cast("date"))
-    return overlap_join(members.join(sizes, keys).withColumn("set_id", set_id), 40, 0.75)
+    sets = stored(members.join(sizes, keys).withColumn("set_id", set_id))
+    return overlap_join(sets, 40, 0.75)
 
 
 OVERLAPPING_BASKETS = """
