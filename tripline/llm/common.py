@@ -33,3 +33,17 @@ def crc_remainder(doc_id: Column | str, modulus: int) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """``doc_id`` and ``label`` of about ``max_rows`` labelled ids at most, picked by hash; the same in every run.
+
+    Rows with a NULL id or label are left out; of rows that repeat an id the
+    smallest label counts. The result is small enough to broadcast.
+    """
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    marked = marked.groupBy("doc_id").agg(F.min(label).alias(label))
+    total = marked.count()
+    share = min(1.0, max_rows / max(total, 1))
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return F.broadcast(marked.where(picked))

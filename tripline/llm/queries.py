@@ -7,20 +7,105 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm import simhash
+from tripline.llm import decontam, mixing, rules, simhash, token_files
 from tripline.llm.common import table
 from tripline.operators.workdir import WorkDir
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items they come from."""
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontam.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as token ids in rANS blocks, read back."""
+    work = WorkDir(spark)
+    files = token_files.write(
+        table(spark, sf_dir, "documents"), work.new_path("tokens"), work, _tokenizer("word_bpe_49k.json")
+    )
+    return token_files.digests(spark, files)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the learned decision list."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.learn_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), WorkDir(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = mixing.mix(docs, WorkDir(spark))
+    return found.select(
+        "doc_id",
+        F.col(mixing.SIZE).alias("size"),
+        F.col(mixing.SOURCE_SIZE).alias("source_size"),
+        F.col(mixing.TARGET).alias("target"),
+        (F.col(mixing.SIZE) * F.col(mixing.COPIES)).alias("taken"),
+        F.col(mixing.COPIES).alias("copies"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_token_files": op4_token_files,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": """
+        WITH lowered AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+            FROM documents),
+        items AS (
+            SELECT item_id, words, least(10, len(words)) AS width FROM (
+                SELECT item_id, regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+                FROM benchmark WHERE text IS NOT NULL)
+            WHERE len(words) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, width, array_to_string(words[i:i + width - 1], ' ') AS content
+            FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS i FROM items)),
+        places AS (
+            SELECT doc_id, width, i, array_to_string(words[i:i + width - 1], ' ') AS content
+            FROM (SELECT doc_id, words, width, unnest(range(1, len(words) - width + 2)) AS i
+                  FROM lowered, (SELECT DISTINCT width FROM windows) WHERE len(words) >= width)),
+        found AS (SELECT doc_id, p.width, i, item_id FROM places p JOIN windows w
+                  ON p.width = w.width AND p.content = w.content),
+        hits AS (SELECT doc_id, count(DISTINCT word) AS n_hit
+                 FROM (SELECT doc_id, unnest(range(i, i + width)) AS word FROM found) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM lowered LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+}
