@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+import xxhash
+
+from tests.llm.conftest import rows_of
+from tripline.llm import simhash
+from tripline.llm.components import connected_components
+
+LONG = "x"
+
+
+def brute_fingerprint(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[ \t\n\r\x0b\x0c]+", lowered) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fingerprints):
+    """Smallest position reachable over links of at most two bits."""
+    parent = list(range(len(fingerprints)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(fingerprints):
+        for j in range(i):
+            if (a ^ fingerprints[j]).bit_count() <= 2:
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    return [find(i) for i in range(len(fingerprints))]
+
+
+@pytest.mark.parametrize(
+    "text", [None, "", " \n", "One", "One two", "one TWO three", "É é a b c a b c", "a\x1cb c d", "w " * 300]
+)
+def test_fingerprint_is_the_majority_of_shingle_hashes(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_a_very_long_text_is_read_whole(monkeypatch):
+    text = " ".join(f"w{n % 97}" for n in range(5000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 64)
+    assert simhash.fingerprint(text) == whole == brute_fingerprint(text)
+
+
+def clusters(seed):
+    state = random.Random(seed)
+    found = [state.getrandbits(64) for _ in range(40)]
+    for _ in range(160):
+        value = state.choice(found)
+        for _ in range(state.randint(1, 4)):
+            value ^= 1 << state.randrange(64)
+        found.append(value)
+    hub = state.getrandbits(64)
+    found += [hub ^ (1 << bit) for bit in range(0, 64, 2)]
+    return list(dict.fromkeys(found))
+
+
+@pytest.mark.parametrize("paired", [0, 3, simhash.PAIRED])
+def test_links_connect_what_brute_force_connects(spark, work, paired):
+    values = clusters(paired)
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "fingerprint long")
+    edges = simhash.links(frame, work, paired)
+    for row in edges.collect():
+        assert ((row["a"] ^ row["b"]) & (1 << 64) - 1).bit_count() <= 2
+    tree = {r["node"]: r["root"] for r in connected_components(edges, work).collect()}
+    wanted = brute_components(values)
+    groups = {}
+    for value, group in zip(values, wanted):
+        signed = simhash._signed(value)
+        groups.setdefault(group, set()).add(tree.get(signed, signed))
+    assert all(len(roots) == 1 for roots in groups.values())
+    assert len(set.union(*groups.values())) == len(groups)
+
+
+def test_pivot_distances_bound_the_hamming_distance(spark):
+    state = random.Random(5)
+    for _ in range(300):
+        a = state.getrandbits(64)
+        b = a
+        for _ in range(state.randint(0, 3)):
+            b ^= 1 << state.randrange(64)
+        most = max(abs((a ^ p).bit_count() - (b ^ p).bit_count()) for p in simhash.PIVOTS)
+        assert most <= (a ^ b).bit_count()
+
+
+def test_a_chain_is_one_component(spark, work):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(3, 3), (5, 4), (None, 1)], "a long, b long")
+    assert {r["root"] for r in connected_components(edges, work).collect()} == {0}
+
+
+def test_no_edges(spark, work):
+    assert connected_components(spark.createDataFrame([], "a long, b long"), work).count() == 0
+
+
+def test_near_duplicates_with_nulls_ties_and_repeats(documents, work):
+    rows = [(4, "a b c d"), (2, "A b  c d"), (2, "A b  c d"), (9, None), (7, ""), (None, " "), (1, "other words here now")]
+    found = simhash.near_duplicates(documents(rows), work)
+    assert rows_of(found, "doc_id", "component_id") == sorted(
+        [(4, 2), (2, 2), (2, 2), (9, 7), (7, 7), (None, 7), (1, 1)], key=repr
+    )
+
+
+def test_one_document_of_each_group_stays(documents, work):
+    rows = [(4, "a b c d"), (2, "A b  c d"), (2, "A b  c d"), (9, None), (7, ""), (None, "a b c d"), (1, "other words")]
+    docs = documents(rows)
+    kept = simhash.keep_one_per_group(docs, work)
+    assert kept.schema == docs.schema
+    assert rows_of(kept, "doc_id") == sorted([(2,), (7,), (None,), (1,)], key=repr)
+
+
+def test_empty_table(documents, work):
+    assert simhash.near_duplicates(documents([]), work).count() == 0
+    assert simhash.keep_one_per_group(documents([]), work).count() == 0
