@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 
 from checks.views import oracle_views, spark_view
 from tripline import plans
-
-AS_OF = "2024-01-31 00:00:00"
+from tripline.functions.timeops import DayFolders
+from tripline.operators.workdir import WorkDir
+from tripline.sources import load_source
+
+# The tables' times lie in January 2024; each job looks back from a day that puts its bound into that month.
+AS_OF = "2024-02-08 00:00:00"
+AS_OF_20_DAYS = "2024-01-31 00:00:00"
+AS_OF_60_DAYS = "2024-03-10 00:00:00"
+AS_OF_90_DAYS = "2024-04-09 00:00:00"
+AS_OF_300_DAYS = "2024-11-05 00:00:00"
 OWN_ACCOUNTS = ("111111111111", "222222222222")
 LEARN = ("2024-01-01 00:00:00", "2024-01-12 00:00:00")
 
@@ -33,7 +41,7 @@ def joined_sets(df: DataFrame, *names: str) -> DataFrame:
 
 
 def key_creation_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = plans.key_creation_burst(spark_view(spark, sf_dir, "gcp_audit"), AS_OF)
+    result = plans.key_creation_burst(spark_view(spark, sf_dir, "gcp_audit"), AS_OF_60_DAYS)
     return joined(
         result,
         "service_account_oauth_client_ids",
@@ -55,7 +63,7 @@ picked AS (
          CAST(json_extract_string(proto_payload, '$.response.key_origin') AS INT) AS origin_code,
          CAST(json_extract_string(proto_payload, '$.response.valid_before_time.seconds') AS BIGINT) AS expiry
   FROM gcp_audit
-  WHERE event_time > TIMESTAMP '2024-01-31' - INTERVAL 60 DAY
+  WHERE event_time > TIMESTAMP '2024-03-10' - INTERVAL 60 DAY
 )
 SELECT min(event_time) AS earliest, max(event_time) AS latest, count(*) AS counter,
        count(DISTINCT client) AS distinct_service_accounts, tumble_hour,
@@ -85,7 +93,8 @@ def delegation_with_key_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark_view(spark, sf_dir, "gsuite_activity"),
         spark_view(spark, sf_dir, "gcp_audit"),
         spark_view(spark, sf_dir, "org_ip"),
-        AS_OF,
+        AS_OF_90_DAYS,
+        WorkDir.for_session(spark),
     )
 
 
@@ -97,7 +106,7 @@ made AS (
          json_extract_string(resource, '$.labels.unique_id') AS client
   FROM gcp_audit
   WHERE service_name = 'iam.googleapis.com' AND ends_with(method_name, '.CreateServiceAccountKey')
-    AND event_time > TIMESTAMP '2024-01-31' - INTERVAL 90 DAY
+    AND event_time > TIMESTAMP '2024-04-09' - INTERVAL 90 DAY
 ),
 ranked AS (
   SELECT made.*, row_number() OVER (PARTITION BY client ORDER BY made_at, project_id) AS position,
@@ -109,7 +118,7 @@ granted AS (
          event_parameters ->> 'API_SCOPES' AS api_scopes, event_parameters ->> 'DOMAIN_NAME' AS domain_name
   FROM gsuite_activity
   WHERE id_application_name = 'admin' AND event_name = 'AUTHORIZE_API_CLIENT_ACCESS'
-    AND event_type = 'DOMAIN_SETTINGS' AND id_time > TIMESTAMP '2024-01-31' - INTERVAL 90 DAY
+    AND event_type = 'DOMAIN_SETTINGS' AND id_time > TIMESTAMP '2024-04-09' - INTERVAL 90 DAY
 )
 SELECT id_time AS delegation_time, actor_email, event_name, granted.client AS identity_object_gsw,
        'SA_TYPE' AS api_type, api_scopes, domain_name, made_at AS key_creation_time,
@@ -140,12 +149,11 @@ SELECT min(id_time) AS earliest, max(id_time) AS latest, client_id, method_name,
        coalesce(string_agg(DISTINCT ip_address, ',' ORDER BY ip_address), '') AS source_ips, actor_email
 FROM calls
 WHERE regexp_full_match(app_name, '[0-9]+')
-  AND NOT coalesce((actor_email, ip_address, method_name) IN (
-        SELECT (actor_email, ip_address, method_name) FROM calls
-        WHERE id_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-12' AND ip_address IS NOT NULL), FALSE)
-  AND NOT (ip_address IS NULL AND (actor_email, method_name) IN (
-        SELECT (actor_email, method_name) FROM calls
-        WHERE id_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-12' AND ip_address IS NOT NULL))
+  AND NOT EXISTS (
+        SELECT 1 FROM (SELECT DISTINCT actor_email AS a, ip_address AS i, method_name AS m FROM calls
+                       WHERE id_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-12'
+                         AND ip_address IS NOT NULL) AS learnt
+        WHERE coalesce(a = actor_email, TRUE) AND coalesce(i = ip_address, TRUE) AND coalesce(m = method_name, TRUE))
 GROUP BY client_id, method_name, actor_email
 """
 )
@@ -153,7 +161,7 @@ GROUP BY client_id, method_name, actor_email
 
 def plaintext_key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.plaintext_key_files(
-        spark_view(spark, sf_dir, "edr_file"), spark_view(spark, sf_dir, "gcp_audit"), AS_OF
+        spark_view(spark, sf_dir, "edr_file"), spark_view(spark, sf_dir, "gcp_audit"), AS_OF_20_DAYS
     )
 
 
@@ -174,7 +182,7 @@ WHERE target_file_extension = 'json' AND event_time > TIMESTAMP '2024-01-31' - I
 
 
 def inactive_delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.inactive_delegations(spark_view(spark, sf_dir, "gsuite_activity"), AS_OF)
+    return plans.inactive_delegations(spark_view(spark, sf_dir, "gsuite_activity"), AS_OF_300_DAYS)
 
 
 INACTIVE_DELEGATIONS = (
@@ -186,7 +194,7 @@ admin AS (
   FROM gsuite_activity
   WHERE id_application_name = 'admin' AND event_type = 'DOMAIN_SETTINGS'
     AND event_name IN ('AUTHORIZE_API_CLIENT_ACCESS', 'REMOVE_API_CLIENT_ACCESS')
-    AND id_time > TIMESTAMP '2024-01-31' - INTERVAL 300 DAY
+    AND id_time > TIMESTAMP '2024-11-05' - INTERVAL 300 DAY
 ),
 last_one AS (
   SELECT * FROM admin WHERE regexp_full_match(client, '[0-9]+')
@@ -195,18 +203,48 @@ last_one AS (
 used AS (
   SELECT event_parameters ->> 'client_id' AS client, count(*) AS calls, max(id_time) AS last_call
   FROM gsuite_activity
-  WHERE id_time > TIMESTAMP '2024-01-31' - INTERVAL 300 DAY GROUP BY ALL
+  WHERE id_time > TIMESTAMP '2024-11-05' - INTERVAL 300 DAY GROUP BY ALL
 )
 SELECT id_time AS delegation_time, last_one.client AS oauth_client_id, actor_email, domain_name,
        scopes AS oauth_scopes, FALSE AS delegation_deleted, calls AS oauth_api_counter,
        last_call AS oauth_last_api_call,
-       CAST(DATE '2024-01-31' - CAST(last_call AS DATE) AS INT) AS oauth_days_since_last_call
+       CAST(DATE '2024-11-05' - CAST(last_call AS DATE) AS INT) AS oauth_days_since_last_call
 FROM last_one LEFT JOIN used ON used.client = last_one.client
 WHERE event_name = 'AUTHORIZE_API_CLIENT_ACCESS'
 """
 )
 
 
+def inactive_delegations_with_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    activity = spark_view(spark, sf_dir, "gsuite_activity")
+    return plans.inactive_delegations(activity, AS_OF_300_DAYS, include_revoked=True)
+
+
+# Revocations are filtered out before the latest event is picked.
+INACTIVE_DELEGATIONS_WITH_REVOKED = INACTIVE_DELEGATIONS.replace(
+    "event_name IN ('AUTHORIZE_API_CLIENT_ACCESS', 'REMOVE_API_CLIENT_ACCESS')",
+    "event_name = 'AUTHORIZE_API_CLIENT_ACCESS'",
+)
+
+
+def stored_log_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key bursts over an audit log that is stored in day folders with its documents as JSON text."""
+    log = spark_view(spark, sf_dir, "gcp_audit")
+    text = log.withColumns({name: F.to_json(name) for name in ("resource", "proto_payload")})
+    path = WorkDir.for_session(spark).new_path("audit")
+    text.withColumn("event_date", F.to_date("event_time")).write.partitionBy("event_date").parquet(path)
+    since = F.lit(AS_OF_60_DAYS).cast("timestamp_ntz") - F.expr("INTERVAL 60 DAY")
+    first = spark.range(1).select(since.cast("string")).first()[0]
+    stored = load_source(spark, "gcp_audit", path, folders=DayFolders("event_date", margin_days=1), since=first)
+    return joined(
+        plans.key_creation_burst(stored, AS_OF_60_DAYS),
+        "service_account_oauth_client_ids",
+        "sa_private_key_type",
+        "sa_key_management_config",
+        "sa_key_origin",
+    )
+
+
 def webdav_script_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.webdav_script_execution(spark_view(spark, sf_dir, "edr_process"), AS_OF)
 
@@ -216,7 +254,7 @@ WEBDAV_SCRIPT_EXECUTION = (
     + """
 SELECT DISTINCT event_time, agent_id, target_process_commandline FROM edr_process
 WHERE regexp_matches(lower(target_process_commandline), '(?s)wscript[.]exe.*[\\\\].*@.*[\\\\].*[.]jse')
-  AND event_time > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+  AND event_time > TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
 ORDER BY event_time
 """
 )
@@ -234,7 +272,7 @@ fetched AS (
          regexp_extract(lower(target_process_commandline), '//([^/]*)', 1) AS host
   FROM edr_process
   WHERE lower(target_process_commandline) LIKE '%rundll32.exe %\\windows\\system32\\davclnt.dll,%davsetcookie %'
-    AND event_time > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+    AND event_time > TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
     AND device_platform = 'WINDOWS' AND coalesce(initiating_process_name, 'svchost.exe') = 'svchost.exe'
 ),
 octets AS (
@@ -260,7 +298,7 @@ GROUP BY host ORDER BY host
 
 
 def elevated_com_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.elevated_com_children(spark_view(spark, sf_dir, "edr_raw"), AS_OF)
+    return plans.elevated_com_children(spark_view(spark, sf_dir, "edr_raw"), AS_OF, WorkDir.for_session(spark))
 
 
 ELEVATED_COM_CHILDREN = (
@@ -268,7 +306,7 @@ ELEVATED_COM_CHILDREN = (
     + """,
 started AS (
   SELECT * FROM edr_raw
-  WHERE starts_with(event_name, 'Process') AND event_time > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+  WHERE starts_with(event_name, 'Process') AND event_time > TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
 ),
 com AS (
   SELECT * FROM started
@@ -296,7 +334,10 @@ ORDER BY 1
 
 def consent_prompt_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.consent_prompt_disabled(
-        spark_view(spark, sf_dir, "edr_raw"), spark_view(spark, sf_dir, "edr_process"), AS_OF
+        spark_view(spark, sf_dir, "edr_raw"),
+        spark_view(spark, sf_dir, "edr_process"),
+        AS_OF,
+        WorkDir.for_session(spark),
     )
 
 
@@ -307,7 +348,7 @@ writes AS (
   SELECT DISTINCT event_time, aid, event_name, registry_key, registry_value_name, registry_str_value_data,
          registry_int_value_data, registry_operation_type, initiating_process_id
   FROM edr_raw
-  WHERE event_time > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+  WHERE event_time > TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
     AND regexp_matches(lower(event_name), 'reg.*update')
     AND ends_with(lower(registry_key), '\\software\\microsoft\\windows\\currentversion\\policies\\system')
     AND registry_value_name = 'ConsentPromptBehaviorAdmin'
@@ -317,13 +358,13 @@ SELECT writes.*, p.target_process_commandline AS initiating_process_command_line
        p.target_process_hash AS initiating_process_hash
 FROM writes LEFT JOIN edr_process AS p
   ON p.agent_id = writes.aid AND p.target_process_uid = writes.initiating_process_id
- AND p.event_time > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+ AND p.event_time > TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
 ORDER BY event_time
 """
 )
 
 _HTA_WHERE = """
-WHERE device_platform = 'WINDOWS' AND event_time >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+WHERE device_platform = 'WINDOWS' AND event_time >= TIMESTAMP '2024-02-08' - INTERVAL 30 DAY
   AND (lower({process}) = 'mshta.exe' OR regexp_matches(lower({cmd}), 'rundll.*mshtml'))
   AND regexp_matches(lower({cmd}), 'http|activexobject|wscript|users[\\\\]public')
 """
@@ -331,8 +372,7 @@ WHERE device_platform = 'WINDOWS' AND event_time >= TIMESTAMP '2024-01-31' - INT
 
 def _hta(view: str, columns: str, side: str, distinct: str) -> str:
     where = _HTA_WHERE.format(process=f"{side}_process_name", cmd=f"{side}_process_commandline")
-    order = ", ".join(f"{name} NULLS FIRST" for name in columns.split(", "))
-    return f"{oracle_views(view)}\nSELECT {distinct} {columns} FROM {view} {where} ORDER BY {order} LIMIT 1000"
+    return f"{oracle_views(view)}\nSELECT {distinct} {columns} FROM {view} {where}"
 
 
 def hta_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,7 +453,7 @@ GROUP BY ALL HAVING count(DISTINCT object_id) >= 10
 
 
 def staged_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = plans.staged_encrypt(spark_view(spark, sf_dir, "o365_staged"))
+    result = plans.staged_encrypt(spark_view(spark, sf_dir, "o365_staged"), WorkDir.for_session(spark))
     return joined_sets(
         joined(result, "involved_files", "matched_files"), "collection_seen_actions", "encryption_seen_actions"
     )
@@ -456,10 +496,10 @@ SELECT min(event_time) AS start_time, max(event_time) AS end_time, event_name, a
        count(*) FILTER (WHERE error_code IS NOT NULL OR response_kms_key IS NULL) AS failed_attempts,
        count(DISTINCT object_key) AS object_count
 FROM cloudtrail
-WHERE list_contains(['CopyObject', 'PutObject', 'CreateMultipartUpload'], event_name)
+WHERE event_name IN ('CopyObject', 'PutObject', 'CreateMultipartUpload')
   AND NOT ends_with(source_ip_address, '.amazonaws.com')
   AND NOT starts_with(request_kms_key_alias, 'alias/aws/')
-  AND request_kms_key_aws_account <> '111111111111' AND request_kms_key_aws_account <> '222222222222'
+  AND request_kms_key_aws_account NOT IN ('111111111111', '222222222222')
 GROUP BY date_trunc('hour', event_time), event_name, aws_region, source_ip_address, user_agent,
          user_identity_type, user_identity_arn, request_parameters ->> 'bucketName'
 """
@@ -502,7 +542,7 @@ deleted AS (
          CASE user_identity_type WHEN 'AssumedRole' THEN regexp_extract(user_identity_arn, '^[^/]*/([^/]*)', 1) END
              AS user_role
   FROM cloudtrail
-  WHERE starts_with(event_name, 'DeleteObject') AND event_source = 's3.amazonaws.com'
+  WHERE event_name IN ('DeleteObject', 'DeleteObjects') AND event_source = 's3.amazonaws.com'
     AND NOT ends_with(source_ip_address, '.amazonaws.com')
     AND NOT EXISTS (SELECT 1 FROM org_ip WHERE ip = source_ip_address)
 )
@@ -525,6 +565,8 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "novel_api_calls": (novel_api_calls, NOVEL_API_CALLS),
     "plaintext_key_files": (plaintext_key_files, PLAINTEXT_KEY_FILES),
     "inactive_delegations": (inactive_delegations, INACTIVE_DELEGATIONS),
+    "inactive_delegations_with_revoked": (inactive_delegations_with_revoked, INACTIVE_DELEGATIONS_WITH_REVOKED),
+    "stored_log_keys": (stored_log_keys, KEY_CREATION_BURST),
     "webdav_script_execution": (webdav_script_execution, WEBDAV_SCRIPT_EXECUTION),
     "webdav_retrieval_hosts": (webdav_retrieval_hosts, WEBDAV_RETRIEVAL_HOSTS),
     "elevated_com_children": (elevated_com_children, ELEVATED_COM_CHILDREN),

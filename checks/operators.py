@@ -16,7 +16,7 @@ from tripline.operators.intervals import interval_join
 from tripline.operators.latest import first_seen_flag, latest_per_key
 from tripline.operators.lookups import exclude_known, flag_known, keep_known, novel_vs_baseline, suffix_pattern_join
 from tripline.operators.overlap import overlap_join
-from tripline.operators.sizing import stored
+from tripline.operators.workdir import WorkDir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def hour_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst(
         _table(spark, sf_dir, "events"),
         "ts",
-        time_slice("ts", "1 hour"),
+        time_slice("ts", 3600),
         ["user_id"],
         [F.count("*").alias("counter"), F.count_distinct("event_type").alias("types")],
         (F.col("counter") > 2) | (F.col("types") > 1),
@@ -372,11 +372,11 @@ def slice_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["user_id"],
         "event_type",
         "weekday",
-        "6 hours",
+        6 * 3600,
         (one_distinct("weekday").alias("one"), many_distinct("weekday").alias("many")),
     ).where(any_of("actions", ("click", "view")) & ~F.col("one"))
     return (
-        slices.groupBy(time_slice("slice_start", "1 day").alias("day"), "sources", "many")
+        slices.groupBy(time_slice("slice_start", 86400).alias("day"), "sources", "many")
         .agg(
             F.array_join(sorted_set("user_id").cast("array<string>"), ",").alias("users"),
             F.array_join(
@@ -408,32 +408,32 @@ FROM slices WHERE wanted AND kinds <> 1 GROUP BY 1, 2, 3 HAVING count(DISTINCT u
 
 
 def overlapping_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' months of returned parts against later months of other parts, by part class."""
+    """Quarters of returned parts against later quarters of other parts, by line number."""
     lines = _table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 40).alias("owner"),
-        F.trunc("l_shipdate", "month").cast("timestamp_ntz").alias("start"),
-        (F.col("l_partkey") % 25).alias("element"),
+        F.col("l_linenumber").alias("owner"),
+        F.trunc("l_shipdate", "quarter").cast("timestamp_ntz").alias("start"),
+        F.col("l_partkey").alias("element"),
         (F.col("l_returnflag") == "R").alias("is_earlier"),
     )
     members = lines.distinct()
     keys = ["owner", "start", "is_earlier"]
     sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") >= 6)
     set_id = F.concat_ws("/", "owner", F.col("start").cast("date"))
-    sets = stored(members.join(sizes, keys).withColumn("set_id", set_id))
-    return overlap_join(sets, 40, 0.75)
+    sets = WorkDir.for_session(spark).store(members.join(sizes, keys).withColumn("set_id", set_id), "sets")
+    return overlap_join(sets, 400, 0.075)
 
 
 OVERLAPPING_BASKETS = """
 WITH sets AS (
-  SELECT l_returnflag = 'R' AS returned, l_suppkey % 40 AS owner, date_trunc('month', l_shipdate) AS start,
-         list(DISTINCT l_partkey % 25) AS elements
-  FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey % 25) >= 6
+  SELECT l_returnflag = 'R' AS returned, l_linenumber AS owner, date_trunc('quarter', l_shipdate) AS start,
+         list(DISTINCT l_partkey) AS elements
+  FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) >= 6
 )
 SELECT concat(a.owner, '/', CAST(a.start AS DATE)) AS earlier_id, concat(b.owner, '/', CAST(b.start AS DATE)) AS later_id,
        len(list_intersect(a.elements, b.elements)) AS matched
 FROM sets AS a JOIN sets AS b ON a.owner = b.owner AND a.returned AND NOT b.returned
-WHERE a.start <= b.start AND a.start >= b.start - INTERVAL 40 DAY
-  AND len(list_intersect(a.elements, b.elements)) >= 0.75 * least(len(a.elements), len(b.elements))
+WHERE a.start <= b.start AND a.start >= b.start - INTERVAL 400 DAY
+  AND len(list_intersect(a.elements, b.elements)) >= 0.075 * least(len(a.elements), len(b.elements))
 """
 
 

@@ -1,7 +1,8 @@
 """Log tables derived from the driver's tables.
 
 The driver has no telemetry, so every source of the jobs is mapped out of its
-``events``, ``orders`` and ``supplier`` tables, one log row per table row. The
+``events``, ``orders`` and ``supplier`` tables, one or more log rows per table row.
+Times, users and kinds come from the tables; details vary with the row's id. The
 mapping is one SQL text that Spark and the oracle both run; the tokens that
 start with ``$`` are the few places where the dialects differ.
 """
@@ -39,8 +40,8 @@ FROM $events
 GSUITE_ACTIVITY = """
 SELECT ts AS id_time,
        CASE event_type WHEN 'signup' THEN 'admin' WHEN 'error' THEN 'drive' ELSE 'token' END AS id_application_name,
-       concat('actor', user_id, '@corp.example') AS actor_email,
-       CASE WHEN event_id % 13 <> 0 THEN concat('172.30.0.', event_id % 4) END AS ip_address,
+       CASE WHEN event_id % 29 <> 0 THEN concat('actor', user_id, '@corp.example') END AS actor_email,
+       CASE WHEN event_id % 13 <> 0 THEN concat('172.30.', user_id, '.', event_id % 4) END AS ip_address,
        CASE event_type
             WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'REMOVE_API_CLIENT_ACCESS'
                                     ELSE 'AUTHORIZE_API_CLIENT_ACCESS' END
@@ -51,7 +52,8 @@ SELECT ts AS id_time,
             WHEN 'signup' THEN concat('{"API_CLIENT_NAME": "', CASE WHEN event_id % 7 = 0 THEN 'app' ELSE '' END,
                                       100000 + user_id, '", "API_SCOPES": "scope', event_id % 3,
                                       '", "DOMAIN_NAME": "corp.example"}')
-            ELSE concat('{"client_id": "', 100000 + user_id * 2, '", "method_name": "m', event_id % 3,
+            ELSE concat('{"client_id": "', 100000 + user_id * 2,
+                        CASE WHEN event_id % 31 = 0 THEN '", "other": "m' ELSE '", "method_name": "m' END, event_id % 3,
                         '", "app_name": "', CASE WHEN event_id % 5 = 0 THEN 'mail' ELSE '' END, 7000 + user_id, '"}')
             END AS event_parameters
 FROM $events
@@ -138,14 +140,14 @@ FROM ({_HOSTED_EVENTS}) AS hosted
 # Four log rows per incident i: the RPC client, the COM host, the child, a registry write.
 EDR_RAW = """
 SELECT CASE role
-            WHEN 0 THEN $t0 + (i * 2 - CASE WHEN i % 6 = 0 THEN 601 WHEN i % 7 = 0 THEN 600 ELSE 60 END) * $sec
-            WHEN 2 THEN $t0 + (i * 2 + CASE WHEN i % 5 = 0 THEN 601 WHEN i % 9 = 0 THEN 600 ELSE 30 END) * $sec
-            ELSE $t0 + (i * 2) * $sec END AS event_time,
-       CASE WHEN role = 3 THEN concat('agent', user_id) ELSE concat('aid', i % 20) END AS aid,
+            WHEN 0 THEN ts - CASE WHEN i % 6 = 0 THEN 601 WHEN i % 7 = 0 THEN 600 ELSE 60 END * $sec
+            WHEN 2 THEN ts + CASE WHEN i % 5 = 0 THEN 601 WHEN i % 9 = 0 THEN 600 ELSE 30 END * $sec
+            ELSE ts END AS event_time,
+       CASE WHEN role = 3 THEN concat('agent', user_id) ELSE concat('aid', user_id) END AS aid,
        CASE WHEN role = 3 THEN CASE WHEN i % 11 = 0 THEN 'RegValueRead' ELSE 'RegValueUpdate' END
-            ELSE 'ProcessRollup' END AS event_name,
+            WHEN event_type = 'view' THEN 'ThreadStart' ELSE 'ProcessRollup' END AS event_name,
        concat('image', role, '.exe') AS image_file_name,
-       CASE WHEN role = 1
+       CASE WHEN role = 1 AND event_type <> 'click'
             THEN concat('C:', $bs, 'Windows', $bs, 'System32', $bs, 'DLLHOST.exe /Processid:{3E5FC7F9-9A51-4367-9063-',
                         CASE WHEN i % 8 = 0 THEN 'FFFFFFFFFFFF' ELSE 'A120244FBEC7' END, '}')
             ELSE concat('run ', i) END AS command_line,
@@ -161,45 +163,60 @@ SELECT CASE role
        CASE WHEN role = 3 THEN concat('v', i % 3) END AS registry_str_value_data,
        CASE WHEN role = 3 THEN CAST(i % 3 AS INT) END AS registry_int_value_data,
        CASE WHEN i % 10 = 1 THEN '2' ELSE '1' END AS registry_operation_type,
-       CASE WHEN i % 7 = 0 THEN 'gone' ELSE concat('u', event_id) END AS initiating_process_id
-FROM (SELECT event_id, user_id, event_id % 4 AS role, CAST(floor(event_id / 4) AS BIGINT) AS i FROM $events) AS numbered
+       CASE WHEN i % 7 = 0 THEN 'gone' ELSE concat('u', i) END AS initiating_process_id
+FROM (SELECT event_id AS i, ts, user_id, event_type FROM $events) AS incidents
+CROSS JOIN (VALUES (0), (1), (2), (3)) AS roles(role)
 """
 
-# Three operations per file in 0.3 s; a fifth of the files commits one synced size.
-O365_IMMEDIATE = """
-SELECT $t0 + event_id * 100 * $ms AS event_time,
-       CASE WHEN event_id % 101 = 0 THEN 'SharePoint' ELSE 'OneDrive' END AS workload,
-       CASE event_id % 3 WHEN 0 THEN 'FileDownloaded' WHEN 1 THEN 'FileModified' ELSE 'FileDeleted' END AS operation,
-       concat('10.9.0.', i % 3) AS client_ip,
-       concat('user', i % 3) AS user_id,
-       concat('file', i) AS object_id,
-       concat('{"SourceRelativeUrl": "folder', i % 7, '", "UserAgent": "agent', i % 2, '"}') AS raw,
-       CASE WHEN i % 5 = 0 THEN '{"file_sync_bytes_committed": "7"}' ELSE '{}' END AS record_specific_details
-FROM (SELECT event_id, CAST(floor(event_id / 3) AS BIGINT) AS i FROM $events) AS numbered
+
+def _numbers(count: int, name: str) -> str:
+    return f"(VALUES {', '.join(f'({n})' for n in range(count))}) AS {name}s({name})"
+
+
+# An error event is a burst of 6 to 14 files of its user, each fetched and then replaced or deleted.
+O365_IMMEDIATE = f"""
+SELECT CASE WHEN i % 97 <> 0 THEN ts + (n * 900 + step * 300) * $ms END AS event_time,
+       CASE WHEN (i + n) % 101 = 0 THEN 'SharePoint' ELSE 'OneDrive' END AS workload,
+       CASE step WHEN 0 THEN 'FileDownloaded'
+            ELSE CASE (i + step) % 4 WHEN 0 THEN 'FileModified' WHEN 1 THEN 'FileDeleted' WHEN 2 THEN 'FileRenamed'
+                 ELSE 'FileRecycled' END END AS operation,
+       concat('10.9.0.', user_id % 3) AS client_ip,
+       concat('user', user_id) AS user_id,
+       concat('file', user_id, '-', i % 4, '-', n) AS object_id,
+       concat('{{"SourceRelativeUrl": "folder', n % 7, '", "UserAgent": "agent', user_id % 2, '"}}') AS raw,
+       CASE WHEN (i + n) % 5 = 0 THEN '{{"file_sync_bytes_committed": "7"}}' ELSE '{{}}' END AS record_specific_details
+FROM (SELECT event_id AS i, ts, user_id FROM $events WHERE event_type = 'error') AS bursts
+CROSS JOIN {_numbers(14, "n")} CROSS JOIN {_numbers(3, "step")}
+WHERE n < 6 + i % 9
 """
 
-# Five minutes of downloads, then five minutes of changes to the same files, over and over.
-O365_STAGED = """
-SELECT $t0 + event_id * 600 * $ms AS event_time,
-       CASE WHEN event_id % 101 = 0 THEN 'SharePoint' ELSE 'OneDrive' END AS workload,
-       CASE WHEN half % 2 = 0 THEN 'FileDownloaded' WHEN event_id % 3 = 0 THEN 'FileRecycled'
-            ELSE 'FileModified' END AS operation,
-       concat('10.9.0.', event_id % 2) AS client_ip,
-       concat('user', event_id % 2) AS user_id,
-       concat('file', CAST(floor(half / 2) AS BIGINT) * 500 + event_id % 500) AS object_id,
-       concat('{"SourceRelativeUrl": "folder', event_id % 7, '", "UserAgent": "agent', event_id % 2, '"}') AS raw,
-       '{}' AS record_specific_details
-FROM (SELECT event_id, CAST(floor(event_id / 500) AS BIGINT) AS half FROM $events) AS numbered
+# A signup is a burst of 55 to 67 downloads and, up to eight days later, a burst on mostly the same files.
+# A third of all bursts is one user's.
+O365_STAGED = f"""
+SELECT ts + (n * 500) * $ms + CASE WHEN stage = 1 THEN (i % 9 * 86400 + 600) ELSE 0 END * $sec AS event_time,
+       CASE WHEN (i + n) % 101 = 0 THEN 'SharePoint' ELSE 'OneDrive' END AS workload,
+       CASE WHEN stage = 0 THEN 'FileDownloaded' WHEN n % 3 = 0 THEN 'FileRecycled'
+            WHEN i % 17 = 0 THEN 'FileRenamed' ELSE 'FileModified' END AS operation,
+       concat('10.9.0.', user_id % 3) AS client_ip,
+       CASE WHEN i % 3 = 0 THEN 'busy' ELSE concat('user', user_id) END AS user_id,
+       concat('file', user_id, '-', i, '-', n + stage * (i % 7) * 3) AS object_id,
+       concat('{{"SourceRelativeUrl": "folder', CASE WHEN i % 11 = 0 THEN 0 ELSE n % 7 END,
+              '", "UserAgent": "agent', user_id % 2, '"}}') AS raw,
+       '{{}}' AS record_specific_details
+FROM (SELECT event_id AS i, ts, user_id FROM $events WHERE event_type = 'signup' AND event_id % 4 <> 3) AS bursts
+CROSS JOIN {_numbers(67, "n")} CROSS JOIN {_numbers(2, "stage")}
+WHERE n < 55 + i % 13
 """
 
 CLOUDTRAIL = """
-SELECT $t0 + o_orderkey * 5 * $sec AS event_time,
-       CASE o_orderkey % 7
+SELECT CASE WHEN o_orderkey % 41 <> 0 THEN $t0 + o_orderkey * 5 * $sec END AS event_time,
+       CASE WHEN o_orderkey % 29 = 0 THEN 'DeleteObjectTagging' WHEN o_orderkey % 37 = 0 THEN 'PutObjectAcl'
+            ELSE CASE o_orderkey % 7
             WHEN 3 THEN CASE WHEN o_orderkey % 10 = 3 THEN 'DeleteObjects' ELSE 'GetObject' END
             WHEN 4 THEN 'PutObject'
             WHEN 5 THEN 'CopyObject'
             WHEN 6 THEN 'PutBucketLifecycle'
-            ELSE 'DeleteObject' END AS event_name,
+            ELSE 'DeleteObject' END END AS event_name,
        CASE WHEN o_orderkey % 31 = 0 THEN 'ec2.amazonaws.com' ELSE 's3.amazonaws.com' END AS event_source,
        concat('us-east-', o_orderkey % 2) AS aws_region,
        CASE o_custkey % 6

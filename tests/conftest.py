@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripline.operators.workdir import WorkDir
 from tripline.session import local_session
 from tripline.sources import DOCUMENT_COLUMNS, SCHEMAS
 
@@ -52,6 +53,16 @@ def table(spark):
     return build
 
 
+@pytest.fixture
+def work(spark, tmp_path):
+    """A work folder; nothing of it is left when its handle closes."""
+    folder = tmp_path / "work"
+    folder.mkdir()
+    with WorkDir(spark, str(folder)) as handle:
+        yield handle
+    assert not list(folder.iterdir())
+
+
 @pytest.fixture
 def eager_skew_join(spark):
     """Settings that make small tables count as skewed and nothing as broadcastable."""

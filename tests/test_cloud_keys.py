@@ -56,7 +56,7 @@ def grant(time, client, **changes):
     }
 
 
-def test_delegation_with_key_origin(table):
+def test_delegation_with_key_origin(work, table):
     grants = [
         grant("2024-01-20 00:01:00", "100"),
         grant("2024-01-20 00:01:00", "200"),  # no key
@@ -80,7 +80,7 @@ def test_delegation_with_key_origin(table):
         {"ip": None, "specific_source_type": "endpoint_ip_mapping"},
     ]
     result = delegation_with_key_origin(
-        table("gsuite_activity", grants), table("gcp_audit", keys), table("org_ip", ips), AS_OF
+        table("gsuite_activity", grants), table("gcp_audit", keys), table("org_ip", ips), AS_OF, work
     )
     found = {
         (r["identity_object_gsw"], r["sa_creation_caller_ip"], r["sa_key_state"], r["known_organization_ip"],

@@ -31,7 +31,9 @@ def test_novel_api_calls(table):
         call(later, "a", None, "m"),  # known actor and method
         call(later, "a", None, "new"),
         call(learnt, "b", None, "m"),  # a missing address is not learnt
-        call(later, None, "1", "m"),
+        call(later, None, "1", "m"),  # could be a known actor
+        call(learnt, None, "77", "q"),
+        call(later, "b", "77", "q"),  # could be the learned call without an actor
         call(later, "app", "9", "m", event_parameters={"client_id": "c", "method_name": "m", "app_name": "mail"}),
         call(later, "drive", "9", "m", id_application_name="drive"),
         call(later, "view", "9", "m", event_name="view"),
@@ -41,7 +43,7 @@ def test_novel_api_calls(table):
     ]
     result = novel_api_calls(table("gsuite_activity", rows))
     found = {(r["actor_email"], r["method_name"]): r for r in result.collect()}
-    assert set(found) == {("edge", "m"), ("a", "m"), ("a", "new"), ("b", "m"), (None, "m")}
+    assert set(found) == {("edge", "m"), ("a", "m"), ("a", "new"), ("b", "m")}
     assert found["edge", "m"]["source_ips"] == ["3"]
     assert found["a", "m"]["source_ips"] == ["2", "3"] and found["a", "new"]["source_ips"] == []
     assert (found["a", "m"]["earliest"].day, found["a", "m"]["latest"].day) == (1, 2)

@@ -4,7 +4,6 @@ import pytest
 
 from tests.conftest import final_plan
 from tripline import plans
-from tripline.operators import sizing
 
 AS_OF = "2024-01-31 00:00:00"
 EDGE = "2024-01-01 00:00:00"  # exactly 30 days before
@@ -102,11 +101,18 @@ def com_rows():
     return rows
 
 
-@pytest.mark.parametrize("max_bytes", [sizing.MAX_BROADCAST_BYTES, 0])
-def test_elevated_com_children(table, com_rows, monkeypatch, max_bytes):
-    # With a bound of zero nothing is broadcast: the shuffled join gives the same rows.
-    monkeypatch.setattr(sizing.narrow_to_keys, "__defaults__", (max_bytes,))
-    result = plans.elevated_com_children(table("edr_raw", com_rows), AS_OF)
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_elevated_com_children(spark, work, table, com_rows, threshold):
+    # Without broadcasts the shuffled joins give the same rows.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        check_elevated_com_children(plans.elevated_com_children(table("edr_raw", com_rows), AS_OF, work))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_elevated_com_children(result):
     found = result.collect()
     assert {(r["agent_id"], r["uac_bypass_initiating_command_line"]) for r in found} == {
         ("plain", "client"), ("last moment", "client"), ("lost client", None), ("twice", "client"), ("no client", None)
@@ -119,7 +125,7 @@ def test_elevated_com_children(table, com_rows, monkeypatch, max_bytes):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_consent_prompt_disabled(table):
+def test_consent_prompt_disabled(work, table):
     def write(process_id, **changes):
         return {
             "event_time": NOW, "aid": "a", "event_name": "RegSystemConfigValueUpdate", "registry_int_value_data": 0,
@@ -146,7 +152,7 @@ def test_consent_prompt_disabled(table):
         process("other agent", target_process_uid="u1", agent_id="b"),
         process("old", target_process_uid="u1", time=EDGE),
     ]
-    result = plans.consent_prompt_disabled(table("edr_raw", writes), table("edr_process", processes), AS_OF)
+    result = plans.consent_prompt_disabled(table("edr_raw", writes), table("edr_process", processes), AS_OF, work)
     found = [(r["initiating_process_id"], r["initiating_process_command_line"]) for r in result.collect()]
     assert found[0] == ("unknown", None) and sorted(found[1:]) == [("u1", "cmd one"), ("u1", "cmd two")]
     assert {r["initiating_process_hash"] for r in result.collect()} == {None, "h"}
@@ -199,6 +205,10 @@ def test_hta_jobs(table, job, source, side):
     found = job(table(source, rows), AS_OF).collect()
     twice = [] if distinct else ["mshta HTTP://x"]
     assert sorted(r[shown] for r in found) == sorted([c for _, c, fits in HTA_CASES if fits] + ["http edge"] + twice)
-    assert str(found[0]["event_time"]) == EDGE
+    assert str(min(r["event_time"] for r in found)) == EDGE
+    assert [str(r["event_time"]) for r in job(table(source, rows), AS_OF, limit=1).collect()] == [EDGE]
+    everything = job(table(source, rows), AS_OF)
     assert job(table(source, rows), AS_OF, limit=1).count() == 1
+    assert sorted(job(table(source, rows), AS_OF, limit=10**9).collect(), key=repr) == sorted(everything.collect(), key=repr)
+    assert "TakeOrdered" not in final_plan(job(table(source, rows), AS_OF, limit=10**9))
     assert job(table(source, rows), AS_OF, days=29).count() < len(found)

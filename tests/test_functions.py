@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from tripline.functions.docs import decode_codes, doc_get, with_documents
 from tripline.functions.predicates import full_match, ilike_any, ilike_raw, is_internal_host, like_raw
 from tripline.functions.text import last_part, part, remote_host, role_of_session
 from tripline.functions.timeops import (
+    DayFolders,
     as_ntz,
     days_between,
     epoch_seconds,
@@ -16,6 +17,7 @@ from tripline.functions.timeops import (
     recent,
     span,
     time_slice,
+    utc_ntz,
     within,
 )
 
@@ -104,18 +106,35 @@ def test_look_back_prunes_day_folders(spark, tmp_path):
     )
     days.withColumn("event_date", F.to_date("t")).write.partitionBy("event_date").parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
-    kept = recent(log, "t", 2, "2024-01-11 00:00:00")
+    folders = DayFolders("event_date", margin_days=1)
+    kept = recent(folders.since(log, "2024-01-09 00:00:00"), "t", 2, "2024-01-11 00:00:00")
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(t), GreaterThan" in plan
+    assert "PartitionFilters: [(isnull(event_date" in plan and "PushedFilters: [IsNotNull(t), GreaterThan" in plan
     assert sorted(row["n"] for row in kept.collect()) == [8, 9]
+    assert len(folders.since(log, "2024-01-09 00:00:00").inputFiles()) == len(log.inputFiles())
+    assert folders.until(folders.since(log, "2024-01-03"), "2024-01-04 23:00:00").count() == 4
     assert within(log, "t", "2024-01-03 00:00:00", "2024-01-04 23:00:00").count() == 2
 
 
+def test_look_back_keeps_rows_of_other_folders(spark, tmp_path):
+    """A row without a day, or in the folder of the day before or after, is judged by its event time."""
+    rows = [("2024-01-10 12:00:00", None), ("2024-01-09 00:00:01", "2024-01-08"), ("2024-01-10 23:59:00", "2024-01-11"),
+            ("2024-01-08 23:59:59", "2024-01-08")]
+    df = spark.createDataFrame(rows, "t string, event_date string")
+    df = df.select(F.col("t").cast("timestamp_ntz").alias("t"), F.col("event_date").cast("date").alias("event_date"))
+    df.write.partitionBy("event_date").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert recent(log, "t", 2, "2024-01-11").count() == 3
+    assert recent(DayFolders().since(log, "2024-01-09"), "t", 2, "2024-01-11").count() == 3
+    assert recent(DayFolders(margin_days=0).since(log, "2024-01-09"), "t", 2, "2024-01-11").count() == 2
+
+
 def test_slices(value):
     time = as_ntz("2024-01-01 00:00:59.999999")
-    assert value(time_slice(time, "5 seconds")) == datetime(2024, 1, 1, 0, 0, 55)
-    assert value(time_slice(as_ntz("2024-01-01 00:05:00"), "5 minutes")) == datetime(2024, 1, 1, 0, 5)
-    assert value(time_slice(as_ntz("1969-12-31 23:59:58"), "5 seconds")) == datetime(1969, 12, 31, 23, 59, 55)
+    assert value(time_slice(time, 5)) == datetime(2024, 1, 1, 0, 0, 55)
+    assert value(time_slice(as_ntz("2024-01-01 00:05:00"), 300)) == datetime(2024, 1, 1, 0, 5)
+    assert value(time_slice(as_ntz("1969-12-31 23:59:58"), 5)) == datetime(1969, 12, 31, 23, 59, 55)
+    assert value(time_slice(F.lit(None).cast("timestamp_ntz"), 5)) is None
 
 
 def test_days_count_midnights(value):
@@ -133,7 +152,11 @@ def test_epoch_seconds_ignore_the_session_zone(spark, value, zone):
         assert value(from_epoch_seconds(F.lit(-1))) == datetime(1969, 12, 31, 23, 59, 59)
         assert value(from_epoch_seconds(F.lit(10**17))) is None
         assert value(epoch_seconds(as_ntz("2024-03-10 02:30:00.9"))) == 1710037800
-        assert value(time_slice(as_ntz("2024-03-10 02:30:04"), "1 hour")) == datetime(2024, 3, 10, 2)
+        assert value(time_slice(as_ntz("2024-03-10 02:30:04"), 3600)) == datetime(2024, 3, 10, 2)
+        for micros in (1710054000123456, -1, 0, 1710037800000000):
+            instant = F.timestamp_micros(F.lit(micros))
+            assert value(utc_ntz(instant)) == datetime(1970, 1, 1) + timedelta(microseconds=micros)
+        assert value(utc_ntz(F.lit(None).cast("timestamp"))) is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

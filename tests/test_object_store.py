@@ -15,6 +15,21 @@ def deletion(number, **changes):
     }
 
 
+def test_events_without_a_time_are_a_group(table):
+    rows = [deletion(n, event_time=None) for n in range(21)] + [deletion(n, user_agent="timed") for n in range(21)]
+    rows += [deletion(n, user_agent="tag", event_name="DeleteObjectTagging") for n in range(30)]
+    found = object_deletion_burst(table("cloudtrail", rows), table("org_ip", [])).collect()
+    assert {(r["user_agent"], r["start_time"] is None, r["object_count"]) for r in found} == {
+        ("cli", True, 21), ("timed", False, 21)
+    }
+    write = {
+        "event_name": "PutObject", "source_ip_address": "198.18.0.1", "request_kms_key_alias": "alias/x",
+        "request_kms_key_aws_account": "999", "object_key": "k", "response_kms_key": "key", "event_time": None,
+    }
+    encrypted = foreign_kms_encryption(table("cloudtrail", [write]), ("111",)).collect()
+    assert [(r["start_time"], r["successful_attempts"]) for r in encrypted] == [(None, 1)]
+
+
 def test_deletion_burst(table):
     rows = [deletion(n, error_code="AccessDenied" if n < 2 else None) for n in range(21)]
     rows += [deletion(n, user_agent="twenty") for n in range(20)]  # at the limit

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -15,7 +16,8 @@ from tripline.operators.aggs import any_of, burst, many_distinct, one_distinct,
 from tripline.operators.intervals import interval_join
 from tripline.operators.latest import first_seen_flag, latest_per_key
 from tripline.operators.lookups import exclude_known, flag_known, keep_known, novel_vs_baseline, suffix_pattern_join
-from tripline.operators.sizing import measured_bytes, narrow_to_keys, settle, stored
+from tripline.operators.sizing import narrow_to_keys
+from tripline.operators.workdir import WorkDir
 from tripline.functions.timeops import span, time_slice
 
 START = datetime(2024, 1, 1)
@@ -49,14 +51,17 @@ def test_novelty_with_nulls(spark):
             (2, "u", "m", "ip2"),  # new address
             (3, "u", "m", None),  # could be any address of a known pair
             (4, "u", "x", None),  # new method
-            (5, None, "m", "ip3"),  # no actor: kept
-            (6, "w", "m", None),  # learned only without an address: not in the baseline
+            (5, None, "m", "ip3"),  # no actor: could be any of a known address and method
+            (8, "x", "m", "ip3"),  # could be the learned row without an actor
+            (9, "x", "n", "ip3"),  # but not with another method
+            (10, None, None, "ip9"),  # new address
+            (6, "w", "m", None),  # learned only without an address, but could be the row without an actor
             (7, "v", "m", "ip2"),  # seen
         ],
         "id int, actor string, method string, ip string",
     )
     novel = novel_vs_baseline(df, baseline, ["actor", "method"], "ip")
-    assert sorted(row["id"] for row in novel.collect()) == [2, 4, 5, 6]
+    assert sorted(row["id"] for row in novel.collect()) == [2, 4, 9, 10]
     assert not any(mark in final_plan(novel) for mark in NO_PAIRS)
 
 
@@ -71,7 +76,6 @@ def test_suffix_join_equals_the_regex_join(spark):
     files = spark.createDataFrame([(n,) for n in names], "name string")
     lookup = spark.createDataFrame([(p,) for p in projects] + [(None,)], "project string")
     joined = suffix_pattern_join(files, "name", lookup, "project", r"-[a-z0-9]{12}\.json", 18)
-    import re
 
     expected = sorted(
         n for n in names for p in projects if re.fullmatch(re.escape(p) + r"-[a-z0-9]{12}\.json", n)
@@ -146,7 +150,7 @@ def test_burst_and_outcomes(spark):
     result = burst(
         df,
         "t",
-        time_slice("t", "1 hour"),
+        time_slice("t", 3600),
         ["u"],
         [*outcome_counts(F.col("bad")), F.count_distinct("o").alias("objects")],
         F.col("successful_attempts") > 25,
@@ -166,7 +170,7 @@ def test_slice_predicates(spark):
         "f string, a string, s string, t timestamp_ntz, ip string",
     )
     slices = sliced_actions(
-        df, "t", ["f"], "a", "ip", "5 seconds", (one_distinct("s").alias("one"), many_distinct("s").alias("many"))
+        df, "t", ["f"], "a", "ip", 5, (one_distinct("s").alias("one"), many_distinct("s").alias("many"))
     )
     found = {(r["f"], r["one"], r["many"], tuple(r["actions"])) for r in slices.collect()}
     both = ("read", "write")
@@ -197,7 +201,7 @@ def _random_sets(rng, side, owners=2, sets=40):
 
 @pytest.mark.parametrize("ratio", [0.75, 0.5, 1.0, 0.3])
 @pytest.mark.parametrize(("slice_size", "meetings"), [(50_000, 5), (3, 2), (3, 1)])
-def test_overlap_join_equals_all_pairs(spark, monkeypatch, ratio, slice_size, meetings):
+def test_overlap_join_equals_all_pairs(spark, work, monkeypatch, ratio, slice_size, meetings):
     monkeypatch.setattr(overlap, "PREFIX_SLICE", slice_size)
     monkeypatch.setattr(overlap, "MEETINGS", meetings)
     rng = random.Random(int(ratio * 100))
@@ -227,7 +231,7 @@ def test_overlap_join_equals_all_pairs(spark, monkeypatch, ratio, slice_size, me
                 and shared > 0
             ):
                 expected.append((e_id, l_id, shared))
-    result = overlap.overlap_join(stored(df), 7, ratio)
+    result = overlap.overlap_join(work.store(df), 7, ratio)
     assert rows(result) == sorted(expected, key=repr)
     assert {("in", "edge", 4), ("same", "edge", 4)} <= set(expected)
     assert not any(mark in final_plan(result) for mark in NO_PAIRS)
@@ -249,27 +253,73 @@ def test_a_hot_element_makes_few_candidates(spark):
     assert overlap.overlap_join(df, 7, 0.75).count() == 0
 
 
-def test_narrowing_broadcasts_only_within_the_bound(spark):
-    rare = settle(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None)], "ra string, rb string"))
-    assert rare.bytes == measured_bytes(rare.df) > 0
+@pytest.mark.parametrize("seed", range(6))
+def test_novelty_is_the_tuple_rule(spark, seed):
+    """Against three-valued logic by hand, with NULLs on both sides."""
+    rng = random.Random(seed)
+
+    def made(count):
+        return [tuple(rng.choice([None, "1", "2", "3", "4"]) for _ in range(3)) for _ in range(count)]
+
+    learned, probes = made(4 + seed), made(80)
+    schema = "a string, b string, c string"
+
+    def unknown_or_equal(x, y):
+        return all(p is None or q is None or p == q for p, q in zip(x, y))
+
+    wanted = [p for p in probes if not any(unknown_or_equal(p, q) for q in learned if q[2] is not None)]
+    novel = novel_vs_baseline(spark.createDataFrame(probes, schema), spark.createDataFrame(learned, schema), ["a", "b"], "c")
+    assert rows(novel) == sorted(wanted, key=repr)
+    assert not any(mark in final_plan(novel) for mark in NO_PAIRS)
+
+
+def test_narrowing_keeps_what_can_join(spark, work):
+    rare = work.store(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None)], "ra string, rb string"))
     big = spark.range(1000).select(
         F.when(F.col("id") < 900, F.lit("a")).alias("x"),
         (F.col("id") % 5).cast("string").alias("y"),
         (F.col("id") % 100).cast("string").alias("z"),
     )
     by_y, by_z = {"x": "ra", "y": "rb"}, {"x": "ra", "z": "rb"}
-    assert narrow_to_keys(big, [by_y], rare).count() == 180
-    both = narrow_to_keys(big, [by_y, by_z], rare)
+    assert narrow_to_keys(big, [by_y], rare, work).count() == 180
+    both = narrow_to_keys(big, [by_y, by_z], rare, work)
     assert both.columns == big.columns
     assert rows(both) == rows(big.where("x = 'a' and (y = '1' or z = '1')"))
-    assert narrow_to_keys(big, [by_y], rare, max_bytes=rare.bytes - 1) is big
 
 
-def test_stored_keeps_rows_and_cuts_lineage(spark):
+def test_narrowing_plans_alike_at_every_size(spark, work, monkeypatch):
+    """The logical plan and the number of stored tables do not depend on the size of the rare side."""
+    big = spark.range(5000).select(F.col("id").cast("string").alias("x"))
+    seen = []
+    for count in (3, 4000):
+        stores = []
+
+        def store(df, name="table", stores=stores, keep=work.store):
+            plan = df._jdf.queryExecution().optimizedPlan()
+            stores.append((name, re.findall(r"Join \w+|Aggregate|Filter", plan.toString())))
+            return keep(df, name)
+
+        monkeypatch.setattr(work, "store", store)
+        rare = spark.range(count).select(F.col("id").cast("string").alias("r"))
+        assert narrow_to_keys(big, [{"x": "r"}], rare, work).count() == count
+        monkeypatch.undo()
+        seen.append(stores)
+    assert seen[0] == seen[1]
+
+
+def test_work_folder(spark, tmp_path):
     df = spark.range(10).where("id > 3")
-    kept = stored(df)
-    assert kept.count() == 6
-    assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
+    with WorkDir(spark, str(tmp_path)) as work:
+        kept = work.store(df)
+        assert kept.count() == 6
+        assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
+        other = work.store(df, "other")
+        work.drop(other)
+        assert kept.count() == 6 and len(list(tmp_path.glob("*/*"))) == 1
+    assert not list(tmp_path.iterdir())
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            WorkDir(spark)
 
 
 def test_novelty_joins_the_aggregate_when_the_baseline_is_large(spark):

@@ -6,15 +6,15 @@ session time zone. "Now" is always an argument.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Logs stored in one folder per day carry the day in this column.
-PARTITION_COLUMN = "event_date"
-
 SECONDS_PER_DAY = 86400
+MICROS_PER_DAY = SECONDS_PER_DAY * 1_000_000
+HOUR = 3600
 FIRST_EPOCH_SECOND = -62135596800  # 0001-01-01 00:00:00
 LAST_EPOCH_SECOND = 253402300799  # 9999-12-31 23:59:59
 
@@ -38,35 +38,46 @@ def recent(
     *,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Rows later than ``as_of`` minus ``days``.
-
-    When the table is partitioned by day, the same bound is also put on the
-    partition column, so that older folders are never listed or opened.
-    """
+    """Rows later than ``as_of`` minus ``days``."""
     bound = as_ntz(as_of) - span(days, "DAY")
     column = F.col(time_col)
-    kept = df.where(column >= bound if inclusive else column > bound)
-    if PARTITION_COLUMN in df.columns:
-        kept = kept.where(F.col(PARTITION_COLUMN) >= bound.cast("date"))
-    return kept
+    return df.where(column >= bound if inclusive else column > bound)
 
 
 def within(df: DataFrame, time_col: str, start: datetime | str, end: datetime | str) -> DataFrame:
-    """Rows whose time lies in a closed range, with day folders pruned alike."""
-    low, high = as_ntz(start), as_ntz(end)
-    kept = df.where(F.col(time_col).between(low, high))
-    if PARTITION_COLUMN in df.columns:
-        kept = kept.where(F.col(PARTITION_COLUMN).between(low.cast("date"), high.cast("date")))
-    return kept
+    """Rows whose time lies in a closed range."""
+    return df.where(F.col(time_col).between(as_ntz(start), as_ntz(end)))
+
+
+@dataclass(frozen=True)
+class DayFolders:
+    """How a log is cut into day folders: the column, and by how many days it may differ from the event time.
+
+    The margin covers folders that count days in another zone or by arrival.
+    Rows without a day are always read.
+    """
+
+    column: str = "event_date"
+    margin_days: int = 1
+
+    def since(self, df: DataFrame, start: datetime | str) -> DataFrame:
+        """Leave out the folders of days before ``start`` minus the margin, without listing or opening them."""
+        first = (as_ntz(start) - span(self.margin_days, "DAY")).cast("date")
+        return df.where(F.col(self.column).isNull() | (F.col(self.column) >= first))
 
+    def until(self, df: DataFrame, end: datetime | str) -> DataFrame:
+        """Leave out the folders of days after ``end`` plus the margin."""
+        last = (as_ntz(end) + span(self.margin_days, "DAY")).cast("date")
+        return df.where(F.col(self.column).isNull() | (F.col(self.column) <= last))
 
-def time_slice(time: Column | str, size: str) -> Column:
-    """Start of the tumbling slice that holds ``time``; ``size`` as in '5 seconds'.
+
+def time_slice(time: Column | str, seconds: int) -> Column:
+    """Start of the tumbling slice of ``seconds`` that holds ``time``; NULL for a NULL time.
 
     The end of a slice is its start plus its size. Slicing an end again would
     push an end that lies on a boundary into the next slice.
     """
-    return F.window(time, size)["start"]
+    return from_epoch_seconds(F.floor(epoch_seconds(time) / seconds) * seconds)
 
 
 def days_between(earlier: Column | str, later: Column | str) -> Column:
@@ -74,6 +85,14 @@ def days_between(earlier: Column | str, later: Column | str) -> Column:
     return F.datediff(later, earlier)
 
 
+def utc_ntz(time: Column) -> Column:
+    """Zone-free UTC time of an instant (``timestamp``), whatever the session's zone is."""
+    micros = F.unix_micros(time)
+    day, rest = F.floor(micros / MICROS_PER_DAY), F.pmod(micros, F.lit(MICROS_PER_DAY))
+    seconds = (rest.cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return as_ntz("1970-01-01 00:00:00") + F.make_dt_interval(day.cast("int"), F.lit(0), F.lit(0), seconds)
+
+
 def epoch_seconds(time: Column | str) -> Column:
     """Whole seconds since 1970 of a zone-free time, independent of any zone."""
     time = F.col(time) if isinstance(time, str) else time

@@ -24,7 +24,8 @@ def first_seen_flag(df: DataFrame, keys: list[str], time_col: str, tie_break: li
 
     One window per key would sort a hot key in a single task. Here the earliest
     time comes from a partially aggregated minimum, and rows are ranked only
-    against rows of the same key *and* time, which settles ties.
+    against rows of the same key *and* time, which settles ties. The input is
+    read twice; store it when computing it is dear.
     """
     firsts = (
         df.groupBy(*[F.col(name).alias(f"_k_{name}") for name in keys], apart(keys).alias("_apart"))

@@ -8,6 +8,8 @@ where the adaptive skew join splits a hot key.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,25 +53,41 @@ def keep_known(df: DataFrame, column: str, lookup: DataFrame, lookup_column: str
 
 
 def novel_vs_baseline(df: DataFrame, baseline: DataFrame, exact: list[str], optional: str) -> DataFrame:
-    """Rows whose ``(*exact, optional)`` tuple does not occur in the baseline.
+    """Rows whose ``(*exact, optional)`` tuple is surely not in the baseline, as SQL's ``NOT IN`` on a tuple has it.
+
+    A NULL "could be any value": a row is dropped when some baseline row equals
+    it in every column where neither of the two is NULL. Baseline rows with a
+    NULL ``optional`` are not learned.
 
-    SQL's ``NOT IN`` treats a NULL ``optional`` as "could be any value": such a
-    row is dropped as soon as its ``exact`` columns alone occur in the baseline.
-    The baseline therefore also carries one row per ``exact`` with a NULL, and a
-    single null-safe hash anti join does both tests. Rows with a NULL in
-    ``exact`` match nothing and are kept.
+    Both kinds of NULL become equal keys. A baseline row is repeated with each
+    set of its columns emptied, for rows that are NULL there; and baseline
+    rows that are NULL themselves are compared apart, one null-safe hash anti
+    join for each set of NULL columns, on the other columns only.
     """
-    known = baseline.where(F.col(optional).isNotNull()).select(*exact, optional)
-    nothing = F.lit(None).cast(known.schema[optional].dataType)
-    patterns = distinct_rows(
-        known.select(
-            *[F.col(name).alias(f"_b_{name}") for name in exact],
-            F.explode(F.array(F.col(optional), nothing)).alias(f"_b_{optional}"),
-        )
-    )
-    matches = [F.col(name) == F.col(f"_b_{name}") for name in exact]
-    matches.append(F.col(optional).eqNullSafe(F.col(f"_b_{optional}")))
-    return df.join(patterns, matches, "left_anti")
+    columns = [*exact, optional]
+    known = baseline.where(F.col(optional).isNotNull()).select(*columns).distinct()
+    for empty in _subsets(exact):
+        given = [name for name in columns if name not in empty]
+        rows = known
+        for name in exact:
+            rows = rows.where(F.col(name).isNull() if name in empty else F.col(name).isNotNull())
+        # One struct for each set of columns that a compared row may lack.
+        variants = [
+            F.struct(
+                *[
+                    (F.lit(None).cast(known.schema[name].dataType) if name in lacking else F.col(name)).alias(f"_b_{name}")
+                    for name in given
+                ]
+            )
+            for lacking in _subsets(given)
+        ]
+        patterns = distinct_rows(rows.select(F.explode(F.array(*variants)).alias("_v")).select("_v.*"))
+        df = df.join(patterns, [F.col(name).eqNullSafe(F.col(f"_b_{name}")) for name in given], "left_anti")
+    return df
+
+
+def _subsets(names: list[str]) -> list[set[str]]:
+    return [set(chosen) for size in range(len(names) + 1) for chosen in combinations(names, size)]
 
 
 def suffix_pattern_join(

@@ -1,39 +1,18 @@
-"""Broadcasts behind a measured size.
+"""Reducing a huge log to what can join a handful of rows.
 
-A filter that keeps a handful of rows out of a huge log still looks huge to the
-planner, which then shuffles the log to join it. ``settle`` writes the rare
-side once to the shared checkpoint folder, where it survives lost executors and
-where its file size tells the planner the truth. ``narrow_to_keys`` broadcasts
-its keys when their measured size fits, and otherwise leaves the log to the
-ordinary shuffled join.
+A filter that keeps a handful of rows still looks huge to the planner, which
+then shuffles the log to join it. The rare rows are therefore stored first:
+the size of their files tells the planner the truth, and it picks between a
+broadcast and a shuffle by its own threshold. The plan is the same whatever
+the size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-from operator import add
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tripline.session import ensure_checkpoint_dir
-
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Bytes a row costs in a broadcast hash table besides its values, and a value besides its text.
-_ROW_OVERHEAD = 64
-_VALUE_OVERHEAD = 16
-
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tripline.operators.workdir import WorkDir
 
 
 def apart(keys: list[str]) -> Column:
@@ -46,59 +25,19 @@ def apart(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(16))
 
 
-@dataclass(frozen=True)
-class Settled:
-    """A stored DataFrame of flat columns with the memory its rows take."""
-
-    df: DataFrame
-    bytes: int
-
-
-def settle(df: DataFrame) -> Settled:
-    """Store a rare side and measure it."""
-    kept = stored(df)
-    return Settled(kept, measured_bytes(kept))
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    def width(field: T.StructField) -> Column:
-        if isinstance(field.dataType, T.StringType):
-            return F.coalesce(F.octet_length(field.name), F.lit(0)) + _VALUE_OVERHEAD
-        return F.lit(_VALUE_OVERHEAD)
-
-    return reduce(add, [width(field) for field in df.schema.fields], F.lit(_ROW_OVERHEAD))
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Memory a broadcast of ``df`` needs, summed over its rows."""
-    return df.select(F.sum(_row_bytes(df)).alias("size")).first()["size"] or 0
-
-
-def _keys(rare: Settled, on: dict[str, str], mark: str) -> tuple[DataFrame, list[str]]:
-    names = [f"{mark}_{position}" for position in range(len(on))]
-    columns = [F.col(old).alias(new) for old, new in zip(on.values(), names)]
-    return rare.df.select(*columns).dropna().distinct(), names
-
-
-def narrow_to_keys(
-    big: DataFrame, alternatives: list[dict[str, str]], rare: Settled, max_bytes: int = MAX_BROADCAST_BYTES
-) -> DataFrame:
-    """Keep the rows of ``big`` that can join ``rare`` in one of several ways, in one pass.
+def narrow_to_keys(big: DataFrame, alternatives: list[dict[str, str]], rare: DataFrame, work: WorkDir) -> DataFrame:
+    """Keep the rows of ``big`` that can join ``rare`` in one of several ways, in one pass, and store them.
 
-    Each alternative maps columns of ``big`` to columns of ``rare``. The result
-    is only ever joined to ``rare`` on such columns, so dropping the other rows
-    changes nothing. It is stored: what is left of ``big`` is small, and the
-    planner should know. When ``rare`` is too large to broadcast its keys,
-    ``big`` is returned as it is and the later joins shuffle it.
+    ``rare`` is a stored table. Each alternative maps columns of ``big`` to
+    columns of ``rare``. The result is only ever joined to ``rare`` on such
+    columns, so dropping the other rows changes nothing.
     """
-    if rare.bytes > max_bytes:
-        return big
-    marked = big
-    found = F.lit(False)
+    marked, found = big, F.lit(False)
     for number, on in enumerate(alternatives):
         mark = f"_alternative_{number}"
-        keys, names = _keys(rare, on, mark)
-        matches = [F.col(column) == F.col(name) for column, name in zip(on, names)]
-        marked = marked.join(F.broadcast(keys.withColumn(mark, F.lit(True))), matches, "left")
+        names = [f"{mark}_{position}" for position in range(len(on))]
+        keys = rare.select(*[F.col(old).alias(new) for old, new in zip(on.values(), names)]).dropna()
+        keys = work.store(keys.distinct(), "keys").withColumn(mark, F.lit(True))
+        marked = marked.join(keys, [F.col(column) == F.col(name) for column, name in zip(on, names)], "left")
         found = found | F.col(mark).isNotNull()
-    return stored(marked.where(found).select(*big.columns))
+    return work.store(marked.where(found).select(*big.columns), "narrowed")

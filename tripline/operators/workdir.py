@@ -15,17 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session whose driver and executors are one process may fall back to
-    a temporary folder of this machine.
-    """
+    """The folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        return tempfile.mkdtemp(prefix="tripline-")
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach, or name one")
+    return folder.rstrip("/")
 
 
 class WorkDir:
@@ -36,6 +30,18 @@ class WorkDir:
         self.path = f"{folder.rstrip('/') if folder else shared_folder(spark)}/tripline-{uuid4().hex}"
         self._count = 0
 
+    @classmethod
+    def for_session(cls, spark: SparkSession) -> WorkDir:
+        """A folder in the shared one.
+
+        A session whose driver and executors are one process, as in tests, gets
+        a temporary folder when it has no shared one.
+        """
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not named and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            return cls(spark, tempfile.mkdtemp(prefix="tripline-"))
+        return cls(spark)
+
     def new_path(self, name: str) -> str:
         self._count += 1
         return f"{self.path}/{self._count:03d}-{name}"

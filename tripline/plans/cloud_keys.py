@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tripline.functions.docs import decode_codes, doc_get
 from tripline.functions.predicates import full_match
 from tripline.functions.text import last_part
-from tripline.functions.timeops import days_between, from_epoch_seconds, recent, time_slice
+from tripline.functions.timeops import HOUR, days_between, from_epoch_seconds, recent, time_slice
 from tripline.operators.aggs import sorted_set
 from tripline.operators.latest import first_seen_flag
 from tripline.operators.lookups import flag_known, suffix_pattern_join
+from tripline.operators.workdir import WorkDir
 
 # Fixed values of the cloud audit log.
 KEY_METHOD = "CreateServiceAccountKey"
@@ -57,7 +58,7 @@ def key_creation_burst(
         .select(
             "event_time",
             "strip_method_name",
-            time_slice("event_time", "1 hour").alias("tumble_hour"),
+            time_slice("event_time", HOUR).alias("tumble_hour"),
             F.col("project_id").alias("gcp_project_id"),
             F.col("principal_email").alias("gcp_caller_email"),
             F.col("caller_ip").alias("sa_creation_caller_ip"),
@@ -114,12 +115,13 @@ def key_creation_burst(
 
 
 def delegation_with_key_origin(
-    gsuite: DataFrame, gcp_audit: DataFrame, org_ip: DataFrame, as_of: datetime | str, days: int = 90
+    gsuite: DataFrame, gcp_audit: DataFrame, org_ip: DataFrame, as_of: datetime | str, work: WorkDir, days: int = 90
 ) -> DataFrame:
     """Delegation grants to service accounts with every key made for the same client.
 
     Keys made after the grant are included and give a negative day difference.
-    "First key" means first within the look-back.
+    "First key" means first within the look-back. Made keys are few and read
+    twice, so they are stored in ``work`` when the job is called.
     """
     created = (
         recent(gcp_audit, "event_time", days, as_of)
@@ -138,6 +140,7 @@ def delegation_with_key_origin(
     known_ips = org_ip.where(F.col("specific_source_type") == KNOWN_SOURCE_TYPE)
     flagged = flag_known(created, "sa_creation_caller_ip", known_ips, "ip", "known_organization_ip")
     ties = ["gcp_project_id", "gcp_caller_email", "sa_creation_caller_ip", "sa_creation_user_agent"]
+    flagged = work.store(flagged, "keys")
     keyed = first_seen_flag(flagged, ["oauth_client_id"], "key_creation_time", ties, "is_first").withColumn(
         "sa_key_state", F.when(F.col("is_first"), F.lit(FIRST_KEY)).otherwise(F.lit(LATER_KEY))
     )

@@ -29,9 +29,17 @@ LEARN_TO = "2023-09-01 00:00:00"
 
 
 def novel_api_calls(
-    gsuite: DataFrame, learn_from: datetime | str = LEARN_FROM, learn_to: datetime | str = LEARN_TO
+    gsuite: DataFrame,
+    learn_from: datetime | str = LEARN_FROM,
+    learn_to: datetime | str = LEARN_TO,
+    as_of: datetime | str | None = None,
+    days: int | None = None,
 ) -> DataFrame:
-    """Service-account calls whose actor, address and method were not seen while learning."""
+    """Service-account calls whose actor, address and method were not seen while learning.
+
+    With ``as_of`` and ``days`` only calls of that look-back are reported, which
+    bounds the addresses a row can list.
+    """
     calls = gsuite.where(
         (F.col("id_application_name") == TOKEN) & (F.col("event_name") == TOKEN_EVENT)
     ).withColumn("method_name", doc_get("event_parameters", "method_name"))
@@ -39,8 +47,9 @@ def novel_api_calls(
     keys = ["actor_email", "client_id", "method_name", "api_type"]
     # The novelty test only reads group keys of this first step, so it can run on
     # the aggregate: a busy caller reaches the join as a few rows.
+    reported = calls if as_of is None or days is None else recent(calls, "id_time", days, as_of)
     per_address = (
-        calls.withColumn("client_id", doc_get("event_parameters", "client_id"))
+        reported.withColumn("client_id", doc_get("event_parameters", "client_id"))
         .withColumn("api_type", client_kind(doc_get("event_parameters", "app_name")))
         .where(F.col("api_type") == SERVICE_ACCOUNT)
         .groupBy(*keys, "ip_address")

@@ -11,7 +11,8 @@ from tripline.functions.predicates import ilike_any, ilike_raw, is_internal_host
 from tripline.functions.text import remote_host
 from tripline.functions.timeops import recent
 from tripline.operators.intervals import interval_join
-from tripline.operators.sizing import narrow_to_keys, settle
+from tripline.operators.sizing import narrow_to_keys
+from tripline.operators.workdir import WorkDir
 
 # Patterns are raw, a backslash is just a backslash.
 WINDOWS = "WINDOWS"
@@ -29,7 +30,6 @@ VALUE_SET = "1"
 HTA_HOST = "mshta.exe"
 HTA_THROUGH_DLL = "%rundll%mshtml%"
 HTA_ARGUMENTS = ("%http%", "%ActiveXObject%", "%wscript%", r"%users\public%")
-HTA_LIMIT = 1000
 
 
 def webdav_script_execution(edr_process: DataFrame, as_of: datetime | str, days: int = 30) -> DataFrame:
@@ -59,34 +59,39 @@ def webdav_retrieval_hosts(edr_process: DataFrame, as_of: datetime | str, days:
             "target_process_commandline",
         )
         .where(host.contains(".") & ~is_internal_host(host))
+        # The log is reduced to few rows first; the distinct counts expand only those.
+        .groupBy("target_server", "agent_id", F.lower("target_process_commandline").alias("_lowered"))
+        .agg(F.min("target_process_commandline").alias("_example"))
         .groupBy("target_server")
         .agg(
             F.count_distinct("agent_id").alias("distinct_aids"),
-            F.count_distinct(F.lower("target_process_commandline")).alias("distinct_cmdlines"),
-            F.min("target_process_commandline").alias("example_target_process_commandline"),
+            F.count_distinct("_lowered").alias("distinct_cmdlines"),
+            F.min("_example").alias("example_target_process_commandline"),
         )
         .orderBy("target_server")
     )
 
 
 def elevated_com_children(
-    edr_raw: DataFrame, as_of: datetime | str, days: int = 30, within_seconds: int = 600
+    edr_raw: DataFrame, as_of: datetime | str, work: WorkDir, days: int = 30, within_seconds: int = 600
 ) -> DataFrame:
     """High-integrity children of an auto-elevating COM host, with the host's RPC client.
 
     The child starts at most ``within_seconds`` after the host, the client at
     most as long before it; a host whose client is not in the log is kept.
-    Hosts are rare, so they are written once, and one pass over the other
-    processes keeps the possible children and clients.
+    Hosts are rare, so they are written to ``work`` once, and one pass over the
+    other processes keeps the possible children and clients there. Both happens
+    when the job is called; the result reads from ``work``.
     """
     processes = recent(edr_raw, "event_time", days, as_of).where(like_raw("event_name", PROCESS_EVENTS))
-    hosts = settle(
+    hosts = work.store(
         processes.where(ilike_raw("command_line", COM_HOST)).select(
             F.col("aid").alias("host_aid"),
             F.col("event_time").alias("host_time"),
             F.col("target_process_id").alias("host_pid"),
             F.col("rpc_client_process_id").alias("client_pid_of_host"),
-        )
+        ),
+        "hosts",
     )
     related = narrow_to_keys(
         processes.select(
@@ -105,6 +110,7 @@ def elevated_com_children(
             {"aid": "host_aid", "target_process_id": "client_pid_of_host"},
         ],
         hosts,
+        work,
     )
     children = related.where(F.col("integrity_level_description") == HIGH_INTEGRITY).select(
         F.col("event_time").alias("elevated_process_creation_time"),
@@ -124,7 +130,7 @@ def elevated_com_children(
         F.col("target_process_hash").alias("initiating_process_hash"),
     )
     with_child = interval_join(
-        hosts.df,
+        hosts,
         children,
         {"host_aid": "agent_id", "host_pid": "child_parent_pid"},
         "host_time",
@@ -160,14 +166,14 @@ def elevated_com_children(
 
 
 def consent_prompt_disabled(
-    edr_raw: DataFrame, edr_process: DataFrame, as_of: datetime | str, days: int = 30
+    edr_raw: DataFrame, edr_process: DataFrame, as_of: datetime | str, work: WorkDir, days: int = 30
 ) -> DataFrame:
     """Registry writes that switch the administrator consent prompt off, with the writing process.
 
-    Writes are rare and written once; the process log is reduced to the
-    processes they name before it is joined.
+    Writes are rare and stored in ``work`` once, and so is what the process log
+    has of the processes they name, when the job is called.
     """
-    writes = settle(
+    writes = work.store(
         recent(edr_raw, "event_time", days, as_of)
         .where(
             (F.col("registry_value_name") == CONSENT_VALUE)
@@ -187,7 +193,8 @@ def consent_prompt_disabled(
             "registry_operation_type",
             "initiating_process_id",
         )
-        .distinct()
+        .distinct(),
+        "writes",
     )
     processes = recent(edr_process, "event_time", days, as_of).select(
         "agent_id",
@@ -196,10 +203,10 @@ def consent_prompt_disabled(
         F.col("target_process_hash").alias("initiating_process_hash"),
     )
     on = {"agent_id": "aid", "target_process_uid": "initiating_process_id"}
-    processes = narrow_to_keys(processes, [on], writes)
+    processes = narrow_to_keys(processes, [on], writes, work)
     same_process = [F.col(a) == F.col(b) for a, b in on.items()]
     return (
-        writes.df.join(processes, same_process, "left").drop("agent_id", "target_process_uid").orderBy("event_time")
+        writes.join(processes, same_process, "left").drop("agent_id", "target_process_uid").orderBy("event_time")
     )
 
 
@@ -214,10 +221,10 @@ def _hta_activity(
     columns: list[str],
     as_of: datetime | str,
     days: int,
-    limit: int,
+    limit: int | None,
     distinct: bool,
 ) -> DataFrame:
-    """Suspicious activity of HTA hosts: the earliest ``limit`` rows, ties in column order."""
+    """Suspicious activity of HTA hosts: all of it, or the earliest ``limit`` rows with ties in column order."""
     found = (
         recent(df, "event_time", days, as_of, inclusive=True)
         .where(
@@ -227,11 +234,12 @@ def _hta_activity(
         )
         .select(*columns)
     )
-    return (found.distinct() if distinct else found).orderBy(*columns).limit(limit)
+    found = found.distinct() if distinct else found
+    return found if limit is None else found.orderBy(*columns).limit(limit)
 
 
 def hta_target(
-    edr_process: DataFrame, as_of: datetime | str, days: int = 30, limit: int = HTA_LIMIT
+    edr_process: DataFrame, as_of: datetime | str, days: int = 30, limit: int | None = None
 ) -> DataFrame:
     """Starts of an HTA host with suspicious arguments."""
     columns = ["event_time", "initiating_process_name", "target_process_commandline", "target_process_uid"]
@@ -241,7 +249,7 @@ def hta_target(
 
 
 def hta_children(
-    edr_process: DataFrame, as_of: datetime | str, days: int = 30, limit: int = HTA_LIMIT
+    edr_process: DataFrame, as_of: datetime | str, days: int = 30, limit: int | None = None
 ) -> DataFrame:
     """Processes started by an HTA host that has suspicious arguments."""
     columns = ["event_time", "initiating_process_name", "target_process_commandline", "target_process_uid"]
@@ -251,7 +259,7 @@ def hta_children(
 
 
 def hta_network(
-    edr_network: DataFrame, as_of: datetime | str, days: int = 30, limit: int = HTA_LIMIT
+    edr_network: DataFrame, as_of: datetime | str, days: int = 30, limit: int | None = None
 ) -> DataFrame:
     """Network connections of an HTA host that has suspicious arguments."""
     columns = [
@@ -267,7 +275,7 @@ def hta_network(
     )
 
 
-def hta_files(edr_file: DataFrame, as_of: datetime | str, days: int = 30, limit: int = HTA_LIMIT) -> DataFrame:
+def hta_files(edr_file: DataFrame, as_of: datetime | str, days: int = 30, limit: int | None = None) -> DataFrame:
     """File activity of an HTA host that has suspicious arguments."""
     columns = ["event_time", "initiating_process_commandline", "target_file_action", "target_file_path"]
     return _hta_activity(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripline.functions.docs import doc_get
 from tripline.functions.predicates import like_raw
 from tripline.functions.text import role_of_session
-from tripline.functions.timeops import time_slice
+from tripline.functions.timeops import HOUR, time_slice
 from tripline.operators.aggs import burst, outcome_counts
 from tripline.operators.lookups import exclude_known
 
@@ -54,7 +54,7 @@ def foreign_kms_encryption(cloudtrail: DataFrame, own_accounts: Sequence[str]) -
     return burst(
         writes,
         "event_time",
-        time_slice("event_time", "1 hour"),
+        time_slice("event_time", HOUR),
         keys,
         [*outcome_counts(failed), F.count_distinct("object_key").alias("object_count")],
     ).select("start_time", "end_time", *keys, "successful_attempts", "failed_attempts", "object_count")
@@ -121,7 +121,7 @@ def object_deletion_burst(cloudtrail: DataFrame, org_ips: DataFrame, min_objects
     return burst(
         foreign,
         "event_time",
-        time_slice("event_time", "1 hour"),
+        time_slice("event_time", HOUR),
         keys,
         [
             *outcome_counts(F.col("error_code").isNotNull()),

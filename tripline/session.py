@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -13,6 +11,10 @@ RUNTIME_SETTINGS = {
     # Split a hot join key even when that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sets of actions per file and slice: stay in the hash table instead of sorting after 128 groups.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # Beyond this, the first n rows are sorted out with spilling instead of kept in a heap of n rows.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -40,16 +42,3 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tripline-checkpoint-")
-    context.setCheckpointDir(folder)

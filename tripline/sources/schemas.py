@@ -1,17 +1,20 @@
 """Schemas of the log tables and lookups.
 
-Every log has one zone-free event time. Documents are ``variant``; a table that
-stores them as JSON text is accepted and parsed on load. Logs may carry further
-columns, and a day partition column (see ``functions.timeops``).
+Every log has one zone-free event time in UTC; an instant (``timestamp``) is
+turned into one, whatever the session's zone is. Documents are ``variant``; a
+table that stores them as JSON text is accepted and parsed on load. Logs may
+carry further columns, which are left out.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tripline.functions.docs import with_documents
-from tripline.functions.timeops import PARTITION_COLUMN
+from tripline.functions.timeops import DayFolders, utc_ntz
 
 
 def _schema(strings: str = "", times: str = "", ints: str = "", booleans: str = "", documents: str = "") -> T.StructType:
@@ -90,21 +93,42 @@ DOCUMENT_COLUMNS = {
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Check and order the columns of a source; parse text documents, cast session times."""
+    """Check and order the columns of a source; parse text documents, turn instants into UTC times."""
     schema = SCHEMAS[name]
     missing = [field.name for field in schema.fields if field.name not in df.columns]
     if missing:
         raise ValueError(f"source {name!r} lacks the columns {', '.join(missing)}")
     df = with_documents(df, *DOCUMENT_COLUMNS[name])
-    extra = [PARTITION_COLUMN] if PARTITION_COLUMN in df.columns else []
     wanted = []
     for field in schema.fields:
-        same = df.schema[field.name].dataType == field.dataType
-        wanted.append(df[field.name] if same else df[field.name].cast(field.dataType).alias(field.name))
-    return df.select(*wanted, *extra)
+        column, kind = df[field.name], df.schema[field.name].dataType
+        if kind == T.TimestampType() and field.dataType == T.TimestampNTZType():
+            column = utc_ntz(column).alias(field.name)
+        elif kind != field.dataType:
+            column = column.cast(field.dataType).alias(field.name)
+        wanted.append(column)
+    return df.select(*wanted)
+
 
+def load_source(
+    spark: SparkSession,
+    name: str,
+    location: str,
+    fmt: str = "parquet",
+    *,
+    folders: DayFolders | None = None,
+    since: datetime | str | None = None,
+    until: datetime | str | None = None,
+) -> DataFrame:
+    """Read a source from a folder, or from a catalog table when ``fmt`` is 'table'.
 
-def load_source(spark: SparkSession, name: str, location: str, fmt: str = "parquet") -> DataFrame:
-    """Read a source from a folder, or from a catalog table when ``fmt`` is 'table'."""
+    With ``folders``, a table cut into day folders is read from ``since`` to
+    ``until`` only, give or take the margin stated there. The jobs' own
+    look-backs on the event time still apply.
+    """
     df = spark.read.table(location) if fmt == "table" else spark.read.format(fmt).load(location)
+    if folders and since is not None:
+        df = folders.since(df, since)
+    if folders and until is not None:
+        df = folders.until(df, until)
     return conform(df, name)
