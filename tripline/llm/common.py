@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Prefix of columns that exist only inside an operator.
 INNER = "__tl_"
 
+#: Rows that pass to a Python worker at a time; texts are long.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(job: Callable) -> Callable:
+    """Lets a job that takes the session first hand at most ``BATCH_ROWS`` texts at a time to Python workers."""
+
+    @wraps(job)
+    def run(spark: SparkSession, *rest):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return job(spark, *rest)
+
+    return run
+
 
 def words(text: str | None) -> list[bytes]:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return; UTF-8."""
@@ -31,7 +49,7 @@ def crc_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ from tripline.llm import (
     token_files,
     toxicity,
 )
-from tripline.llm.common import crc_remainder, table
+from tripline.llm.common import bounded_batches, crc_remainder, table
 from tripline.operators.workdir import WorkDir
 
 
@@ -29,6 +29,7 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@bounded_batches
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, from profiles of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -38,6 +39,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+@bounded_batches
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, and the items they come from."""
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,20 +54,23 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@bounded_batches
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+@bounded_batches
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as token ids in rANS blocks, read back."""
-    work = WorkDir(spark)
+    work = WorkDir.for_session(spark)
     files = token_files.write(
         table(spark, sf_dir, "documents"), work.new_path("tokens"), work, _tokenizer("word_bpe_49k.json")
     )
     return token_files.digests(spark, files)
 
 
+@bounded_batches
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,12 +80,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@bounded_batches
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the learned decision list."""
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.learn_rules(docs, table(spark, sf_dir, "labels")))
 
 
+@bounded_batches
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, grade and toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,16 +95,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", toxicity.severity(model, spark).alias("found")).select("doc_id", "found.*")
 
 
+@bounded_batches
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), WorkDir(spark))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), WorkDir.for_session(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@bounded_batches
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = mixing.mix(docs, WorkDir(spark))
+    found = mixing.mix(docs, WorkDir.for_session(spark))
     return found.select(
         "doc_id",
         F.col(mixing.SIZE).alias("size"),
@@ -111,6 +120,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+@bounded_batches
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted as token ids and read back."""
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
