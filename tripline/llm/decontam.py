@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -251,11 +250,12 @@ def clean_text(text: str | None, automaton: SuffixAutomaton) -> tuple[str | None
     removed, words = 0, None
     while True:
         raw = normalised(text)
-        places = [match.span() for match in _WORD.finditer(raw)]
-        words = len(places) if words is None else words
-        ranges, _ = automaton.find([raw[start:end] for start, end in places])
+        sequence = _WORD.findall(raw)
+        words = len(sequence) if words is None else words
+        ranges, _ = automaton.find(sequence)
         if not ranges:
             return text, words, removed
+        places = [match.span() for match in _WORD.finditer(raw)]
         source, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
         for start, end in ranges:
             kept.append(source[at : places[start][0]])
