@@ -10,7 +10,7 @@ that no piece covers costs more than any piece and counts one token per byte.
 The distinct pre-tokens of a batch are walked in the depth-first order of
 their trie. The forward scores of the current path stand on a stack, so those
 of a prefix are computed once for all pre-tokens that begin with it; the count
-at each terminal is stored and remembered for later batches of the process.
+at each terminal is stored and remembered for later batches of the task.
 
 NULL and empty texts have no tokens. Rows that repeat are counted each.
 """
@@ -31,7 +31,7 @@ from tripline.llm.common import words
 WORD_SIGN = "▁"
 ZIPF_SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
-_REMEMBERED = 600_000
+_REMEMBERED = 250_000
 
 
 def zipf_scores(ranks: dict[str, float]) -> dict[str, float]:
@@ -109,10 +109,14 @@ class TextCounter:
         self._number: dict[bytes, int] = {}
         self._counts = np.zeros(0, dtype=np.int64)
 
+    def forget(self) -> None:
+        """Give back what the pre-tokens seen so far take."""
+        self._number, self._counts = {}, np.zeros(0, dtype=np.int64)
+
     def count(self, texts) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         if len(self._number) > _REMEMBERED:
-            self._number, self._counts = {}, np.zeros(0, dtype=np.int64)
+            self.forget()
         known, number = len(self._number), self._number
         numbered = [[number.setdefault(word, len(number)) for word in words(text)] for text in texts]
         new = [word.decode("utf-8", "surrogatepass") for word in list(number)[known:]]
@@ -143,6 +147,7 @@ def token_counts(model_path: str, text: Column | str = "text") -> Column:
         tool = counter(model_path)
         for texts in batches:
             yield pd.DataFrame(tool.count(list(texts)), columns=_COUNTED.names)
+        tool.forget()
 
     return count(text)
 
