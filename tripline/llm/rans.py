@@ -25,9 +25,9 @@ MAGIC, FORMAT = b"TLRA", 1
 SCALE_BITS = 20
 #: Lane states lie between 2**31 and 2**63.
 LOW_BITS, WORD_BITS = 31, 32
-MAX_LANES = 1024
+MAX_LANES = 2048
 IDS_PER_LANE = 64
-CHECKPOINT_STEPS = 128
+CHECKPOINT_STEPS = 256
 _HEAD = struct.Struct("<4sHHIIIIIII")
 
 
@@ -38,6 +38,9 @@ class Table:
         self.ids = ids.astype(np.uint32)
         self.frequencies = frequencies.astype(np.uint64)
         self.starts = np.concatenate(([0], np.cumsum(self.frequencies)[:-1])).astype(np.uint64)
+        # The place of each id in the table; ids that are not in it get the place behind the last.
+        self.places = np.full(int(self.ids[-1]) + 2 if len(self.ids) else 1, len(self.ids), dtype=np.uint32)
+        self.places[self.ids] = np.arange(len(self.ids))
         self.checksum = zlib.crc32(self.ids.astype("<u4").tobytes() + self.frequencies.astype("<u4").tobytes())
 
     @classmethod
@@ -69,24 +72,24 @@ def encode(ids: np.ndarray, lengths: np.ndarray, table: Table) -> bytes:
     """A block of the ids of whole documents; ``lengths`` has the number of ids of each."""
     count = len(ids)
     lanes = max(1, min(MAX_LANES, count // IDS_PER_LANE))
-    symbols = np.searchsorted(table.ids, ids)
-    if count and (symbols.max() >= len(table.ids) or (table.ids[symbols] != ids).any()):
+    symbols = table.places[np.minimum(ids, len(table.places) - 1)]
+    if count and symbols.max() >= len(table.ids):
         raise ValueError("an id is not in the table")
     steps = -(-count // lanes)
-    frequencies, starts = table.frequencies[symbols], table.starts[symbols]
-    limits = frequencies << np.uint64(LOW_BITS - SCALE_BITS + WORD_BITS)
     states = np.full(lanes, 1 << LOW_BITS, dtype=np.uint64)
     scale, word, mask = np.uint64(SCALE_BITS), np.uint64(WORD_BITS), np.uint64((1 << WORD_BITS) - 1)
+    room = np.uint64(LOW_BITS - SCALE_BITS + WORD_BITS)
     emitted: list[np.ndarray] = [None] * steps
     saved: dict[int, np.ndarray] = {}
     for step in range(steps - 1, -1, -1):
         at = slice(step * lanes, min(count, (step + 1) * lanes))
-        part = states[: at.stop - at.start]
-        full = part >= limits[at]
+        part, symbol = states[: at.stop - at.start], symbols[at]
+        frequency = table.frequencies[symbol]
+        full = part >= frequency << room
         emitted[step] = (part[full] & mask).astype("<u4")
         part[full] >>= word
-        quotient = part // frequencies[at]
-        part[:] = (quotient << scale) + (part - quotient * frequencies[at]) + starts[at]
+        quotient, rest = np.divmod(part, frequency)
+        part[:] = (quotient << scale) + rest + table.starts[symbol]
         if step % CHECKPOINT_STEPS == 0:
             saved[step] = states.copy()
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in emitted]))).astype(np.int64)

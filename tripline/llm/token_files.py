@@ -16,9 +16,11 @@ on their texts only.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,78 +31,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripline.llm import rans
-from tripline.llm.common import words
 from tripline.operators.workdir import WorkDir
 
 END_ID = 1
 #: A block closes with the document that brings it to this many ids.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 #: Characters that are encoded together.
-_SLICE_CHARS = 1 << 21
-_CACHED_WORDS = 400_000
-_SEPARATOR = "<|endoftext|>"
+_SLICE_CHARS = 1 << 20
+_REMEMBERED = 120_000
+#: Latin letters whose lower case and composed form do not depend on what stands around them, then ASCII marks.
+_LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+# A byte-level vocabulary writes printable bytes as themselves and the others from U+0100 on, in order.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {byte: chr(0x100 + n) for n, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _byte_letters(piece: str) -> str:
+    return piece.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
 
 
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once while it is remembered."""
+    """Encodes texts word by word, each distinct piece of a word once while it is remembered.
+
+    A word of Latin letters with marks behind it is two pieces, its lower-cased
+    letters and its marks, because the tokenizer lowers case and parts letters
+    from marks; any other word is one piece.
+    """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._number: dict[bytes, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back what the words seen so far take."""
+        self._words: dict[str, int] = {}
+        self._first = np.zeros(0, dtype=np.int64)
+        self._second = np.zeros(0, dtype=np.int64)
+        self._pieces: dict[str, int] = {}
         self._starts = np.zeros(0, dtype=np.int64)
         self._lengths = np.zeros(0, dtype=np.int64)
         self._pool = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [word.decode("utf-8", "replace") for word in new]
-        plain = [text for text in texts if self._separator is not None and _SEPARATOR not in text]
-        lists: dict[str, np.ndarray] = {}
-        if plain:
-            joined = f" {_SEPARATOR} "
-            groups = [plain[start : start + 512] for start in range(0, len(plain), 512)]
-            encodings = self.tokenizer.encode_batch_fast([joined.join(group) for group in groups], add_special_tokens=False)
-            for group, encoding in zip(groups, encodings):
-                ids = np.array(encoding.ids, dtype=np.uint32)
-                parts = np.split(ids, np.flatnonzero(ids == self._separator))
-                if len(parts) != len(group):
-                    raise ValueError("the tokenizer does not keep words apart")
-                lists.update(zip(group, [parts[0], *(part[1:] for part in parts[1:])]))
-        for text in texts:
-            if text not in lists:
-                encoding = self.tokenizer.encode(text, add_special_tokens=False)
-                lists[text] = np.array(encoding.ids, dtype=np.uint32)
-        found = [lists[text] for text in texts]
-        lengths = np.array([len(ids) for ids in found], dtype=np.int64)
-        ends = len(self._pool) + np.cumsum(lengths)
-        self._starts = np.concatenate((self._starts, ends - lengths))
-        self._lengths = np.concatenate((self._lengths, lengths))
-        self._pool = np.concatenate((self._pool, *found))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        pa.default_memory_pool().release_unused()
+
+    def _learn_words(self, new: list[str]) -> None:
+        pieces = self._pieces
+        known, match = len(pieces), _LETTERS_AND_MARKS.fullmatch
+        first, second = [], []
+        for text in new:
+            found = match(text)
+            if found:
+                letters, marks = found.groups()
+                first.append(pieces.setdefault(letters.lower(), len(pieces)))
+                second.append(pieces.setdefault(marks, len(pieces)) if marks else -1)
+            else:
+                # No piece has a blank, so one in front tells words that are a piece as they are.
+                first.append(pieces.setdefault(" " + text, len(pieces)))
+                second.append(-1)
+        self._first = np.concatenate((self._first, np.array(first, dtype=np.int64)))
+        self._second = np.concatenate((self._second, np.array(second, dtype=np.int64)))
+        if len(pieces) > known:
+            self._learn_pieces(list(islice(pieces, known, None)))
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ids of new pieces: letters and marks need the merges only, other pieces the whole tokenizer."""
+        merge, whole = self.tokenizer.model.tokenize, self.tokenizer.encode
+        found = [
+            whole(piece[1:], add_special_tokens=False).ids
+            if piece[0] == " "
+            else [token.id for token in merge(piece if piece.isascii() else _byte_letters(piece))]
+            for piece in new
+        ]
+        counts = np.array(list(map(len, found)), dtype=np.int64)
+        ends = len(self._pool) + np.cumsum(counts)
+        self._starts = np.concatenate((self._starts, ends - counts))
+        self._lengths = np.concatenate((self._lengths, counts))
+        self._pool = np.concatenate((self._pool, np.fromiter(chain.from_iterable(found), np.uint32, counts.sum())))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self._number) > _CACHED_WORDS:
-            self._forget()
-        known, number = len(self._number), self._number
-        numbered = [[number.setdefault(word, len(number)) for word in words(text)] for text in texts]
-        if len(number) > known:
-            new = list(number)[known:]
-            self._learn(new)
-        out = []
-        for found in numbered:
-            at = np.array(found, dtype=np.int64)
-            lengths = self._lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            shift = np.repeat(self._starts[at] - (ends - lengths), lengths)
-            out.append(self._pool[shift + np.arange(total)])
-        return out
+        if not len(texts):
+            return []
+        if len(self._words) > _REMEMBERED:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        distinct, words = coded.dictionary.to_pylist(), self._words
+        known = len(words)
+        at = np.array([words.setdefault(word, len(words)) for word in distinct], dtype=np.int64)
+        if len(words) > known:
+            self._learn_words(list(islice(words, known, None)))
+        at = at[coded.indices.to_numpy()]
+        pieces = np.column_stack((self._first[at], self._second[at])).ravel()
+        there = pieces >= 0
+        lengths = np.where(there, self._lengths[pieces], 0) if len(pieces) else pieces
+        by_word = np.concatenate(([0], np.cumsum(lengths)))[::2]
+        pieces, lengths = pieces[there], lengths[there]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self._pool[np.repeat(self._starts[pieces] - (ends - lengths), lengths) + np.arange(total)]
+        return np.split(ids, by_word[np.cumsum(split.value_lengths().to_numpy())[:-1]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -121,7 +155,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         while start < len(ids):
             before = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, before + _SLICE_CHARS, side="right")))
-            yield ids[start:end], texts[start:end].to_pylist()
+            yield ids[start:end], texts[start:end]
             start = end
 
 
@@ -142,7 +176,7 @@ def _raw_blocks(tokenizer_path: str, end_id: int, block_ids: int):
     """Groups the sorted documents of a partition into blocks of raw ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer_path).encode, TaskContext.get().partitionId()
+        tool, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         block, start, doc_ids, pieces, lengths, size = 0, 0, [], [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -155,7 +189,7 @@ def _raw_blocks(tokenizer_path: str, end_id: int, block_ids: int):
             )
 
         for ids, texts in _slices(batches):
-            for doc_id, found in zip(ids, encode(texts)):
+            for doc_id, found in zip(ids, tool.encode(texts)):
                 doc_ids.append(doc_id)
                 pieces.append(np.append(found, np.uint32(end_id)))
                 lengths.append(len(found) + 1)
@@ -163,6 +197,7 @@ def _raw_blocks(tokenizer_path: str, end_id: int, block_ids: int):
                 if size >= block_ids:
                     yield closed()
                     block, start, doc_ids, pieces, lengths, size = block + 1, start + size, [], [], [], 0
+        tool.forget()
         if doc_ids:
             yield closed()
 
@@ -227,7 +262,8 @@ def write(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
                 data = rans.encode(_ids_of(row["ids"], row["n_ids"]), np.array(row["lengths"]), shared.value)
                 kept = [pa.array([row[name]], batch.schema.field(name).type) for name in _RAW.names[:5]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([data], pa.binary())], names=[*_RAW.names[:5], "data"])
@@ -261,7 +297,8 @@ def _decoded(spark: SparkSession, files: TokenFiles, schema: T.StructType, row):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = rans.Decoder(shared.value)
         for batch in batches:
-            for block in batch.to_pylist():
+            for number in range(batch.num_rows):
+                block = batch.slice(number, 1).to_pylist()[0]
                 found = decoder.decode(block["data"])
                 ends = np.cumsum(found.lengths, dtype=np.int64)
                 first = before[block["part"]] + block["start_in_part"]
