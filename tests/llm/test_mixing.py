@@ -47,13 +47,13 @@ def corpus(documents, seed=3):
 
 def test_taken_words_come_near_their_targets(documents, work):
     docs = corpus(documents)
-    found = mixing.mix(docs, work)
+    found = mixing.mix(mixing.sized(docs), work)
     taken = F.sum(F.col(mixing.SIZE) * F.col(mixing.COPIES)).alias("taken")
     sources = found.groupBy("source").agg(taken, F.max(mixing.TARGET).alias("target"), F.max(mixing.COPIES).alias("most"))
     for row in sources.collect():
         assert abs(row["taken"] - row["target"]) <= 0.02 * row["target"]
         assert row["most"] <= 2
-    again = mixing.mix(docs.repartition(7), work)
+    again = mixing.mix(mixing.sized(docs.repartition(7)), work)
     assert rows_of(found, "doc_id", mixing.COPIES) == rows_of(again, "doc_id", mixing.COPIES)
 
 
@@ -69,7 +69,7 @@ def test_newton_steps_meet_the_constraints_with_base_rates_and_a_cut(spark, work
 
 def test_nulls_empty_texts_and_repeats(documents, work):
     docs = documents([(1, None, None, "a"), (2, "", None, "a"), (3, "x y", None, None), (3, "x y", None, None), (None, "z", None, "b")])
-    found = mixing.mix(docs, work)
+    found = mixing.mix(mixing.sized(docs), work)
     assert found.count() == 5
     assert {r[mixing.SIZE] for r in found.where(F.col("source") == "a").collect()} == {0}
     assert mixing.mixed_documents(docs, work).schema == docs.schema
@@ -77,11 +77,11 @@ def test_nulls_empty_texts_and_repeats(documents, work):
 
 def test_mixed_documents_are_rows_repeated(documents, work):
     docs = corpus(documents)
-    copies = {r["doc_id"]: r[mixing.COPIES] for r in mixing.mix(docs, work).collect()}
+    copies = {r["doc_id"]: r[mixing.COPIES] for r in mixing.mix(mixing.sized(docs), work).collect()}
     counted = {r["doc_id"]: r["count"] for r in mixing.mixed_documents(docs, work).groupBy("doc_id").count().collect()}
     assert counted == {doc_id: n for doc_id, n in copies.items() if n}
 
 
 def test_empty_table(documents, work):
-    assert mixing.mix(documents([]), work).count() == 0
+    assert mixing.mix(mixing.sized(documents([])), work).count() == 0
     assert mixing.mixed_documents(documents([]), work).count() == 0

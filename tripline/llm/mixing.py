@@ -40,7 +40,7 @@ MAX_STEPS = 60
 
 SOURCE, SIZE, SOURCE_SIZE = f"{INNER}source", f"{INNER}size", f"{INNER}source_size"
 TARGET, RATE, GROUP, COPIES = f"{INNER}target", f"{INNER}rate", f"{INNER}group", f"{INNER}copies"
-DOCS, TILT = f"{INNER}docs", f"{INNER}tilt"
+DOCS, TILT, TIE = f"{INNER}docs", f"{INNER}tilt", f"{INNER}tie"
 
 
 def _same(a: str, b: str):
@@ -134,13 +134,18 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies)], names=[*batch.schema.names, COPIES])
 
 
-def mix(docs: DataFrame, work: WorkDir, base: str | None = None, max_copies: float = MAX_COPIES) -> DataFrame:
-    """``docs`` with size, source size, target, rate and copies in columns named by this module's constants.
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with what mixing needs of the text: its size and a hash that orders rows that are alike otherwise."""
+    return docs.withColumn(SIZE, word_count("text")).withColumn(TIE, F.xxhash64("text"))
 
-    ``docs`` needs ``doc_id``, ``text`` and ``source``; all its columns are
-    kept. ``base`` names a column of base rates; without it they are 1.
+
+def mix(sized: DataFrame, work: WorkDir, base: str | None = None, max_copies: float = MAX_COPIES) -> DataFrame:
+    """``sized`` with source size, target, rate and copies in columns named by this module's constants.
+
+    ``sized`` comes from the function of that name; besides its columns only
+    ``doc_id`` and ``source`` are needed, and all columns there are get carried
+    along. ``base`` names a column of base rates; without it they are 1.
     """
-    sized = docs.withColumn(SIZE, word_count("text"))
     sizes = work.store(
         sized.select("source", F.col(SIZE).alias("size"), (F.col(base) if base else F.lit(1.0)).alias("base")), "sizes"
     )
@@ -162,7 +167,7 @@ def mix(docs: DataFrame, work: WorkDir, base: str | None = None, max_copies: flo
         .drop(DOCS, TILT)
     )
     dealt = joined.repartition(SOURCE, GROUP).sortWithinPartitions(
-        SOURCE, GROUP, F.col(SIZE).desc(), "doc_id", F.xxhash64("text")
+        SOURCE, GROUP, F.col(SIZE).desc(), "doc_id", TIE
     )
     schema = T.StructType([*dealt.schema.fields, T.StructField(COPIES, T.LongType())])
     return dealt.mapInArrow(_rounded, schema)
@@ -171,6 +176,6 @@ def mix(docs: DataFrame, work: WorkDir, base: str | None = None, max_copies: flo
 def mixed_documents(docs: DataFrame, work: WorkDir) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken; columns as they were."""
     names = docs.columns
-    found = mix(docs, work)
+    found = mix(sized(docs), work)
     repeats = F.explode(F.array_repeat(F.lit(1), F.col(COPIES).cast("int"))).alias(GROUP)
     return found.select(*names, repeats).select(*names)

@@ -106,7 +106,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = mixing.mix(docs, WorkDir.for_session(spark))
+    work = WorkDir.for_session(spark)
+    found = mixing.mix(work.store(mixing.sized(docs).drop("text"), "sized"), work)
     return found.select(
         "doc_id",
         F.col(mixing.SIZE).alias("size"),
