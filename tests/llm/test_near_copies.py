@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tests.llm.conftest import rows_of
+from tripline.llm import near_copies, simhash
+
+
+def shingles(text):
+    found = re.findall(r"[^ \t\n\r\x0b\x0c]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_groups(texts):
+    """Smallest position reachable over pairs of texts at a similarity of 0.8 or more."""
+    sets, parent = [shingles(text) for text in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+def written(seed):
+    """Texts with copies at all distances, chains of copies, and a passage that most texts hold."""
+    state = random.Random(seed)
+    word = lambda: f"w{state.randrange(5000)}"
+    passage = [word() for _ in range(25)]
+    texts = [[word() for _ in range(state.randint(1, 120))] for _ in range(40)]
+    texts += [[*passage, *(word() for _ in range(state.randint(3, 40)))] for _ in range(60)]
+    for _ in range(120):
+        copy = list(state.choice(texts))
+        for _ in range(state.randint(0, 3)):
+            copy[state.randrange(len(copy))] = word()
+        texts.append(copy)
+    return [None, "", " ", *(" ".join(text) for text in texts)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_are_those_of_brute_force(documents, work, seed):
+    texts = written(seed)
+    groups = brute_groups(texts)
+    found = near_copies.near_copies(documents(list(enumerate(texts))), work).collect()
+    assert len(found) == len(texts)
+    named = {}
+    for row in found:
+        named.setdefault(row["component"], set()).add(groups[row["doc_id"]])
+    assert all(len(ids) == 1 for ids in named.values()) and len(named) == len(set(groups))
+    assert len(named) < len(texts) - 40
+
+
+def test_near_copies_that_differ_in_many_fingerprint_bits_are_kept_once(documents, work):
+    words = [f"word{n}" for n in range(120)]
+    changed = [*words[:30], "other", *words[31:90], "another", *words[91:]]
+    texts = [" ".join(words), " ".join(changed)]
+    bits = (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count()
+    assert bits > simhash.MAX_BITS and jaccard(*map(shingles, texts)) >= 0.8
+    assert rows_of(simhash.keep_one_per_group(documents(list(enumerate(texts))), work), "doc_id") == [(0,)]
+
+
+def test_share_of_equal_minima_is_the_similarity():
+    state = np.random.default_rng(2)
+    values = state.integers(1 << 63, size=9000, dtype=np.uint64) * np.uint64(2)
+    a, b = values[:8000], values[1000:]
+    assert abs(np.mean(near_copies.minima(a) == near_copies.minima(b)) - 7 / 9) < 0.12

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from tripline.llm.common import lower_ascii_words
 from tripline.llm.components import connected_components
+from tripline.llm.near_copies import near_copies
 from tripline.operators.sizing import apart
 from tripline.operators.workdir import WorkDir
 
@@ -182,13 +183,14 @@ def near_duplicates(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text
 
 
 def keep_one_per_group(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each component, the one with the smallest id; columns as they were.
+    """``docs`` with one row for each group of near copies, the one with the smallest id; columns as they were.
 
+    Groups are those of ``near_copies``, not the components of fingerprints.
     Of rows that repeat that id the one with the smallest text stays. Rows
-    without an id cannot name a component and all stay.
+    without an id cannot name a group and all stay.
     """
-    found = near_duplicates(docs, work, doc_id, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_copies(docs, work, doc_id, text)
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     kept = work.store(kept, "kept")
     renamed = docs.toDF(*(f"c{position}" for position in range(len(docs.columns))))
     id_column, text_column = (f"c{docs.columns.index(name)}" for name in (doc_id, text))
