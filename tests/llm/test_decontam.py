@@ -95,6 +95,27 @@ def test_cutting_goes_on_until_nothing_is_left(spark):
     assert cleaned.split() == ["end"] and (words, removed) == (25, 24)
 
 
+def test_removal_with_shards_is_what_one_automaton_removes(spark, documents, monkeypatch):
+    """Item B holds item A; C comes together only when an A inside it is cut; the last text is mostly B."""
+    inner, outer = [f"p{n}" for n in range(12)], [f"q{n}" for n in range(6)]
+    b = " ".join([*outer, *inner, *(f"r{n}" for n in range(6))])
+    c = [f"c{n}" for n in range(14)]
+    filler = " ".join(f"f{n}" for n in range(40))
+    items = [(1, " ".join(inner)), (2, b), (3, " ".join(c)), (4, "z")]
+    texts = [f"{filler} {b}", " ".join([filler, *c[:7], *inner, *c[7:]]), f"z {filler}", filler, f"{b} x1 x2 x3 x4"]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def removed():
+        out = decontam.remove_contamination(documents(list(enumerate(texts))), benchmark)
+        return {row["doc_id"]: (row["text"].split(), row["n_chars"] == len(row["text"])) for row in out.collect()}
+
+    whole = removed()
+    assert whole == {n: (filler.split(), True) for n in range(4)}
+    for words in (1, 12, 30):
+        monkeypatch.setattr(decontam.automata, "__defaults__", (10, words))
+        assert len(decontam.automata(benchmark)) > 1 and removed() == whole
+
+
 def test_hit_words(spark):
     row = spark.sql("SELECT array(struct(1L AS start, 3L AS end), struct(5L AS start, 6L AS end)) AS spans")
     assert row.select(decontam.hit_words(F.col("spans"))).first()[0] == 3

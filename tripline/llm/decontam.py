@@ -241,18 +241,20 @@ _CLEANED = T.StructType(
 )
 
 
-def clean_text(text: str | None, automaton: SuffixAutomaton) -> tuple[str | None, int, int]:
+def clean_text(text: str | None, *automata: SuffixAutomaton) -> tuple[str | None, int, int]:
     """Text without its hit words and what stands between them, its words before, and how many were removed.
 
-    Removing a span can bring words together that form a window, so the text
-    is read again until nothing is hit.
+    What all automata hit is merged before it is cut, so windows that overlap
+    are cut whole whichever automata they are in. Removing a span can bring
+    words together that form a window of any of them, so the text is read
+    again by all until nothing is hit.
     """
     removed, words = 0, None
     while True:
         raw = normalised(text)
         sequence = _WORD.findall(raw)
         words = len(sequence) if words is None else words
-        ranges, _ = automaton.find(sequence)
+        ranges = _merge([found for automaton in automata for found in automaton.find(sequence)[0]])
         if not ranges:
             return text, words, removed
         places = [match.span() for match in _WORD.finditer(raw)]
@@ -265,11 +267,12 @@ def clean_text(text: str | None, automaton: SuffixAutomaton) -> tuple[str | None
         text = b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def _clean_with(automaton: Broadcast):
+def _clean_with(shards: list[Broadcast]):
     @F.pandas_udf(_CLEANED)
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automata = [shard.value for shard in shards]
         for texts in batches:
-            rows = [clean_text(text, automaton.value) for text in texts]
+            rows = [clean_text(text, *automata) for text in texts]
             yield pd.DataFrame(rows, columns=["text", "n_words", "n_hit"])
 
     return clean
@@ -287,15 +290,13 @@ def remove_contamination(
     names = [f"c{position}" for position in range(len(docs.columns))]
     out = docs.toDF(*names)
     text = names[docs.columns.index("text")]
-    out = out.withColumn("cut", F.lit(0).cast("long")).withColumn("words", F.lit(0).cast("long"))
-    for automaton in automata(benchmark, window):
-        out = (
-            out.withColumn("cleaned", _clean_with(automaton)(text))
-            .withColumn("words", F.greatest("words", "cleaned.n_words"))
-            .withColumn("cut", F.col("cut") + F.col("cleaned.n_hit"))
-            .withColumn(text, F.col("cleaned.text"))
-            .drop("cleaned")
-        )
+    out = (
+        out.withColumn("cleaned", _clean_with(automata(benchmark, window))(text))
+        .withColumn("words", F.col("cleaned.n_words"))
+        .withColumn("cut", F.col("cleaned.n_hit"))
+        .withColumn(text, F.col("cleaned.text"))
+        .drop("cleaned")
+    )
     if "n_chars" in docs.columns:
         chars = names[docs.columns.index("n_chars")]
         kind = docs.schema["n_chars"].dataType
