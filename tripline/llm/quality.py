@@ -1,14 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Every token has a sparse random index vector made from its hash. The vector of
-a token is the sum of the index vectors of its neighbours in a bounded sample
-of labelled texts, scaled to length 1. A document is the mean of its tokens'
+a token is the sum of the index vectors of its neighbours in all texts, labelled
+or not, scaled to length 1. A document is the mean of its tokens'
 vectors with the tokens' share per kind. A two-layer numpy network turns that
 into a logit; a temperature fitted on rows the network was not trained on
 calibrates the probability.
 
 Tokens are lower-cased words, runs of marks, and signs for what the words do:
-upper case, a repeated word, a line break. Tokens that too few sample texts hold
+upper case, a repeated word, a line break. Tokens that too few texts hold
 are replaced by a sign for their kind and length, so every token of every
 document has a vector.
 
@@ -112,7 +112,7 @@ def _text_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def learn_vocabulary(texts: DataFrame, max_tokens: int = MAX_TOKENS, min_texts: int = MIN_TEXTS) -> Vocabulary:
-    """The tokens that most texts of the sample hold, ``max_tokens`` at most; ties by token."""
+    """The tokens that most texts hold, ``max_tokens`` at most; ties by token."""
     counts = texts.select("text").mapInArrow(_text_frequencies, "token string, n long")
     totals = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts)
     rows = totals.orderBy(F.col("n").desc(), "token").limit(max_tokens).collect()
@@ -120,7 +120,7 @@ def learn_vocabulary(texts: DataFrame, max_tokens: int = MAX_TOKENS, min_texts:
 
 
 def learn_vectors(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Unit vectors of all tokens: sums of their neighbours' index vectors over the sample."""
+    """Unit vectors of all tokens: sums of their neighbours' index vectors over the texts."""
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, index_vectors(vocabulary.names)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +271,14 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Model:
-    """Fit on about ``max_rows`` labelled documents at most; a fifth of them sets the temperature."""
+    """Words are learned from all ``docs``, the network from about ``max_rows`` labelled ones at most.
+
+    A fifth of those sets the temperature.
+    """
     chosen = bounded_labels(labels, "quality", max_rows)
     sample = docs.select("doc_id", "text").join(chosen, "doc_id")
-    vocabulary = learn_vocabulary(sample)
-    vectors = learn_vectors(sample, vocabulary)
+    vocabulary = learn_vocabulary(docs)
+    vectors = learn_vectors(docs, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
