@@ -38,7 +38,7 @@ def run(spark, name):
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 12))
     assert {*QUERIES, "pipeline"} <= contract.queries().keys()
 
 
@@ -116,6 +116,16 @@ def test_mix(spark, docs):
     assert all(abs(taken[s] - targets[s]) <= max(0.05 * targets[s], 100) for s in sizes)
 
 
+def test_bpe_ids_and_decoded_texts(spark, docs):
+    found = run(spark, "op11_bpe_codec")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for doc in docs:
+        ids = tokenizer.encode(doc["text"] or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        assert tuple(found[doc["doc_id"]]) == (doc["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(decoded))
+
+
 def test_pipeline_stages_against_brute_force(spark, docs, work):
     """Each stage on what its predecessor kept."""
     before = spark.read.parquet(f"{SF_DIR}/documents.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.llm import (
+    bpe,
     chat,
     decontam,
     language,
@@ -133,6 +134,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(conversations.unionByName(extra), tokenizer), tokenizer)
 
 
+@bounded_batches
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the text they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -144,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_bpe_codec": op11_bpe_codec,
 }
 
 #: DuckDB SQL where SQL can express the operator.
