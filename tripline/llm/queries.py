@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripline.llm import (
     bpe,
     chat,
+    clustering,
     decontam,
     language,
     mixing,
@@ -140,6 +141,12 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+@bounded_batches
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight exact integer clusters of all embeddings."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), WorkDir.for_session(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -152,8 +159,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
+
+
+def _cluster_rounds(rounds: int) -> str:
+    """SQL of the assignments ``a0`` to ``a<rounds>`` and the centroids each is made with."""
+    apart = "list_sum([(v[j] - c[j]) * (v[j] - c[j]) for j in range(1, 65)])"
+    parts = []
+    for n in range(rounds + 1):
+        if n:
+            parts.append(f"""
+        c{n} AS MATERIALIZED (
+            SELECT cluster, coalesce(moved, c) AS c FROM c{n - 1} LEFT JOIN (
+                SELECT cluster, list(CAST((s - ((s % size) + size) % size) // size AS BIGINT) ORDER BY j) AS moved
+                FROM (SELECT cluster, j, sum(v[j]) AS s, count(*) AS size
+                      FROM a{n - 1}, (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j)
+                GROUP BY cluster) USING (cluster))""")
+        parts.append(f"""
+        a{n} AS MATERIALIZED (
+            SELECT row, vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+            FROM (SELECT row, vec_id, v, cluster, {apart} AS distance FROM kept, c{n}) GROUP BY row, vec_id, v)""")
+    return ",".join(parts)
+
+
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": """
@@ -206,4 +236,19 @@ ORACLES: dict[str, str] = {
                CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op12_centroid_clusters": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id,
+                   [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+        c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY hash, v) - 1 AS INTEGER) AS cluster, v AS c
+            FROM (SELECT v, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS hash FROM kept)
+            ORDER BY hash, v LIMIT 8),{_cluster_rounds(10)}
+        SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a10 JOIN c10 USING (cluster)
+    """,
 }
