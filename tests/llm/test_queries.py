@@ -19,6 +19,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import differences, oracle_connection
 from tests.conftest import SF_DIR
+from tests.llm.test_alignment import brute as brute_alignment
 from tests.llm.test_decontam import brute
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_rules import brute as brute_statistics
@@ -38,7 +39,7 @@ def run(spark, name):
 
 
 def test_one_query_for_each_operator_and_the_pipeline():
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 13))
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= contract.queries().keys()
 
 
@@ -126,6 +127,13 @@ def test_bpe_ids_and_decoded_texts(spark, docs):
         assert tuple(found[doc["doc_id"]]) == (doc["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(decoded))
 
 
+def test_alignment_of_whole_texts(spark, docs):
+    found = run(spark, "op13_token_alignment")
+    assert {d["doc_id"]: tuple(found[d["doc_id"]])[1:] for d in docs} == dict(
+        zip((d["doc_id"] for d in docs), brute_alignment([d["text"] for d in docs]))
+    )
+
+
 def test_pipeline_stages_against_brute_force(spark, docs, work):
     """Each stage on what its predecessor kept."""
     before = spark.read.parquet(f"{SF_DIR}/documents.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.llm import (
+    alignment,
     bpe,
     chat,
     clustering,
@@ -147,6 +148,13 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"), WorkDir.for_session(spark))
 
 
+@bounded_batches
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, WorkDir.for_session(spark), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -160,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_bpe_codec": op11_bpe_codec,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
