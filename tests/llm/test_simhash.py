@@ -116,7 +116,22 @@ def test_one_document_of_each_group_stays(documents, work):
     docs = documents(rows)
     kept = simhash.keep_one_per_group(docs, work)
     assert kept.schema == docs.schema
-    assert rows_of(kept, "doc_id") == sorted([(2,), (7,), (None,), (1,)], key=repr)
+    assert rows_of(kept, "doc_id") == sorted([(2,), (7,), (1,)], key=repr)
+
+
+@pytest.mark.parametrize(
+    "rows, wanted",
+    [
+        # The other text of a repeated id has no copy and stays beside the group's first row.
+        ([(3, "a b c d"), (5, "a b c d"), (5, "one of its own kind")], [(3, "a b c d"), (5, "one of its own kind")]),
+        # Copies without an id are one group as well.
+        ([(None, "a b c d"), (None, "a b c d"), (None, "something else")], [(None, "a b c d"), (None, "something else")]),
+        ([(None, "a b c d"), (8, "A b c d"), (8, "A b c d")], [(8, "A b c d")]),
+        ([(1, None), (2, ""), (None, " ")], [(1, None)]),
+    ],
+)
+def test_each_group_keeps_one_row_whatever_its_ids_are(documents, work, rows, wanted):
+    assert rows_of(simhash.keep_one_per_group(documents(rows), work), "doc_id", "text") == sorted(wanted, key=repr)
 
 
 def test_empty_table(documents, work):

@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 
 from tripline.llm.common import lower_ascii_words
 from tripline.llm.components import connected_components
-from tripline.llm.near_copies import near_copies
 from tripline.operators.sizing import apart
 from tripline.operators.workdir import WorkDir
 
@@ -148,6 +147,14 @@ def links(fingerprints: DataFrame, work: WorkDir, paired: int = PAIRED) -> DataF
     return pairs.union(stars).distinct()
 
 
+def _components(distinct: DataFrame, work: WorkDir) -> DataFrame:
+    """``distinct`` (one row per ``fingerprint``) with the ``root`` fingerprint of its component."""
+    tree = connected_components(links(distinct.select("fingerprint"), work), work)
+    return distinct.join(tree, F.col("fingerprint") == F.col("node"), "left").select(
+        *distinct.columns, F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (signed), ``component_id``.
 
@@ -161,11 +168,7 @@ def near_duplicates(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text
     distinct = work.store(
         marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct"
     )
-    edges = links(distinct.select("fingerprint"), work)
-    tree = connected_components(edges, work)
-    rooted = distinct.join(tree, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
+    rooted = _components(distinct, work)
     first = (
         rooted.groupBy("root", apart(["root"]).alias("part"))
         .agg(F.min("first_id").alias("component_id"))
@@ -183,19 +186,29 @@ def near_duplicates(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text
 
 
 def keep_one_per_group(docs: DataFrame, work: WorkDir, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each group of near copies, the one with the smallest id; columns as they were.
+    """``docs`` with exactly one row for each component of linked fingerprints; columns as they were.
+
+    The row with the smallest id stays, rows without an id come last, ties go
+    to the smallest digest of id and text. Rows are told apart by that
+    digest, so ids may be NULL or repeat with different texts. Of rows that
+    are equal in both, one stays. NULL and empty texts are one group.
 
-    Groups are those of ``near_copies``, not the components of fingerprints.
-    Of rows that repeat that id the one with the smallest text stays. Rows
-    without an id cannot name a group and all stay.
+    The survivor of a group is found among one candidate per fingerprint, and
+    equal rows meet only after each map task has kept one of them, so neither
+    a hot fingerprint nor a hot row gathers in one task.
     """
-    found = near_copies(docs, work, doc_id, text)
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    kept = work.store(kept, "kept")
     renamed = docs.toDF(*(f"c{position}" for position in range(len(docs.columns))))
     id_column, text_column = (f"c{docs.columns.index(name)}" for name in (doc_id, text))
-    ranked = renamed.join(kept, F.col(id_column) == F.col("kept_id"), "left_semi").withColumn(
-        "row", F.row_number().over(Window.partitionBy(id_column).orderBy(text_column))
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("!")) for name in (id_column, text_column)]
+    renamed = renamed.withColumn("row_key", F.md5(F.concat_ws(":", *parts)))
+    marked = with_fingerprint(renamed, text_column).select(
+        "fingerprint", F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("row_key")).alias("row")
     )
-    first = ranked.where(F.col("row") == 1).drop("row")
-    return first.unionAll(renamed.where(F.col(id_column).isNull())).toDF(*docs.columns)
+    marked = work.store(marked.groupBy("fingerprint").agg(F.min("row").alias("row")), "fingerprints")
+    kept = _components(marked, work).groupBy("root").agg(F.min("row").alias("row"))
+    kept = work.store(kept.select(F.col("row.row_key").alias("kept_key")), "kept")
+    others = [F.col(f"c{n}") for n, field in enumerate(docs.schema) if not isinstance(field.dataType, (T.MapType, T.VariantType))]
+    same_row = Window.partitionBy("row_key").orderBy(F.xxhash64(*others))
+    single = renamed.withColumn("position", F.row_number().over(same_row)).where(F.col("position") == 1)
+    left = single.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi")
+    return left.drop("row_key", "position").toDF(*docs.columns)
