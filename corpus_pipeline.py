@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @bounded_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of linked fingerprints stays (three words, two bits, as in ``op8``)."""
     return keep_one_per_group(docs, WorkDir.for_session(spark))
 
 
