@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as contract
-from checks import jobs, operators
+from checks import jobs, operators, streams
 from checks.compare import differences, oracle_connection
 from tests.conftest import SF_DIR
 from tripline.sources import SCHEMAS, conform, load_source
@@ -18,7 +18,7 @@ def connection():
     return oracle_connection(SF_DIR)
 
 
-OWN = {**jobs.QUERIES, **operators.QUERIES}
+OWN = {**jobs.QUERIES, **operators.QUERIES, **streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))

@@ -1,0 +1,197 @@
+"""Streams against their batch forms, over several runs that go on from a checkpoint."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tripline.functions.timeops import time_slice, utc_instant, utc_ntz
+from tripline.operators.aggs import burst
+from tripline.operators.intervals import interval_join
+from tripline.streaming import burst_stream, drain, first_seen_stream, interval_join_stream
+from tripline.streaming.first_seen import STATE_STORE
+
+SCHEMA = "id long, user string, kind string, ts timestamp_ntz"
+START = datetime(2024, 3, 1)
+FAR = 10_000_000
+
+
+def at(seconds):
+    return None if seconds is None else START + timedelta(seconds=seconds)
+
+
+class Log:
+    """A folder that events land in, and a stream over it that is run again after each landing."""
+
+    def __init__(self, spark, folder, form, state_store=None):
+        self.spark, self.landing, self.out, self.checkpoint = spark, f"{folder}/land", f"{folder}/out", f"{folder}/check"
+        self.form, self.state_store = form, state_store
+
+    def land(self, rows):
+        frame = self.spark.createDataFrame([(i, u, k, at(s)) for i, u, k, s in rows], SCHEMA)
+        frame.coalesce(2).write.mode("append").parquet(self.landing)
+        found = self.form(self.spark.readStream.schema(SCHEMA).parquet(self.landing))
+        return drain(found, self.out, self.checkpoint, self.state_store)
+
+    def rows(self):
+        return sorted((tuple(r) for r in self.spark.read.parquet(self.out).collect()), key=repr)
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    return lambda form, state_store=None: Log(spark, tmp_path, form, state_store)
+
+
+def test_an_instant_leads_back_to_its_time_in_every_zone(spark):
+    times = ["2024-03-31 02:30:00.123456", "1969-12-31 23:59:59.999999", "0001-01-01 00:00:00", "2024-10-27 02:30:00"]
+    for zone in ("UTC", "Europe/Berlin", "America/St_Johns"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        frame = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        assert frame.where(utc_ntz(utc_instant("t")) != F.col("t")).count() == 0
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def bursts(unique=None, distinct=None):
+    return lambda s: burst_stream(s, "ts", ["user"], 60, 30, {"n": F.lit(1)}, distinct, F.col("n") > 1, unique=unique)
+
+
+def test_a_window_comes_out_once_the_watermark_has_passed_it(log):
+    stream = log(bursts(distinct={"kinds": "kind"}))
+    stream.land([(1, "a", "x", 10), (2, "a", "y", 59.5), (3, "b", "x", 61), (4, None, None, 30), (5, None, None, 31)])
+    stream.land([(6, "b", "x", 89)])
+    assert stream.rows() == []  # The watermark is at 59.
+    stream.land([(7, "b", "x", 90)])
+    first = [(at(0), "a", at(10), at(59.5), 2, 2), (at(0), None, at(30), at(31), 2, 0)]
+    assert stream.rows() == sorted(first, key=repr)
+    stream.land([(8, "z", "z", FAR)])
+    assert stream.rows() == sorted([*first, (at(60), "b", at(61), at(90), 3, 1)], key=repr)
+
+
+def test_late_events_are_counted_and_left_out(log):
+    stream = log(bursts())
+    assert stream.land([(1, "a", "x", 10), (2, "b", "x", 200)]).late == 0
+    done = stream.land([(3, "a", "x", 20), (4, "a", "x", 30), (5, "b", "x", 201), (6, "c", "x", None)])
+    assert done.rows == 4 and done.late >= 1
+    stream.land([(8, "z", "z", FAR)])
+    assert stream.rows() == [(at(180), "b", at(200), at(201), 2)]
+
+
+def test_an_event_delivered_twice_counts_once(log):
+    stream = log(bursts(unique=["id"]))
+    stream.land([(1, "a", "x", 100), (1, "a", "x", 100), (2, "b", "x", 100)])
+    done = stream.land([(1, "a", "x", 100), (3, "b", "x", 101), (4, "c", "x", 5), (4, "c", "x", 5)])
+    assert done.late == 2
+    stream.land([(8, "z", "z", FAR)])
+    assert stream.rows() == [(at(60), "b", at(100), at(101), 2)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bursts_equal_the_batch_form(spark, log, seed):
+    state = random.Random(seed)
+    rows = [(n, state.choice(["hot", "hot", "a", "b", None]), state.choice(["x", "y", None]), state.randrange(0, 900) + n % 4 / 4)
+            for n in range(400)]
+    rows.sort(key=lambda row: row[3] + state.randrange(0, 25))
+    stream = log(bursts(distinct={"kinds": "kind"}))
+    late = sum(stream.land(rows[n : n + 100]).late for n in range(0, 400, 100))
+    done = stream.land([(9999, "z", "z", FAR)])
+    assert late == 0 and done.state_rows <= 4
+    batch = burst(
+        spark.createDataFrame([(i, u, k, at(s)) for i, u, k, s in rows], SCHEMA), "ts", time_slice("ts", 60), ["user"],
+        [F.count("*").alias("n"), F.count_distinct("kind").alias("kinds")], F.col("n") > 1,
+    )
+    assert stream.rows() == sorted((tuple(r) for r in batch.collect()), key=repr)
+
+
+def test_two_distinct_counts_are_refused(spark, tmp_path):
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        burst_stream(stream, "ts", ["user"], 60, 30, {}, {"a": "id", "b": "kind"})
+
+
+def sides(events, how, join=interval_join_stream, *lateness):
+    left = events.where("kind = 'l'").select("user", F.col("id").alias("left_id"), F.col("ts").alias("left_ts"))
+    right = events.where("kind = 'r'").select(F.col("user").alias("other"), F.col("id").alias("right_id"), F.col("ts").alias("right_ts"))
+    arguments = [left, right, {"user": "other"}, "left_ts", "right_ts", -5, 20]
+    return join(*arguments, *lateness, how).select("left_id", "right_id")
+
+
+def joined(how):
+    return lambda events: sides(events, how, interval_join_stream, 30)
+
+
+def test_a_row_without_a_partner_comes_out_after_its_range(log):
+    stream = log(joined("left"))
+    stream.land([(1, "a", "l", 100), (2, "b", "l", 100), (11, "b", "r", 95)])
+    assert stream.rows() == [(2, 11)]
+    stream.land([(3, "z", "l", 149), (12, "z", "r", 149)])
+    assert (1, None) not in stream.rows()  # At a watermark of 119 a partner can still come.
+    stream.land([(13, "a", "r", 120)])
+    assert stream.rows() == [(1, 13), (2, 11), (3, 12)]
+    done = stream.land([(98, "z", "l", FAR), (99, "z", "r", FAR + 100)])
+    assert stream.rows() == [(1, 13), (2, 11), (3, 12)] and done.state_rows <= 4
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_equal_the_batch_form(spark, log, how):
+    state = random.Random(how)
+    rows = [(n, state.choice(["hot", "hot", "a", "b", None]), state.choice("lr"), state.randrange(0, 600)) for n in range(300)]
+    rows.sort(key=lambda row: row[3] + state.randrange(0, 25))
+    stream = log(joined(how))
+    late = sum(stream.land(rows[n : n + 100]).late for n in range(0, 300, 100))
+    stream.land([(998, "y", "l", FAR), (999, "z", "r", FAR)])
+    events = spark.createDataFrame([(i, u, k, at(s)) for i, u, k, s in rows], SCHEMA)
+    assert late == 0 and stream.rows() == sorted((tuple(r) for r in sides(events, how, interval_join).collect()), key=repr)
+
+
+def test_other_join_types_are_refused(spark, tmp_path):
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        joined("right")(stream)
+
+
+def first(silence):
+    return lambda s: first_seen_stream(s, ["user", "kind"], "ts", ["id"], 30, slice_seconds=60, silence=silence)
+
+
+def brute_first(rows, silence):
+    """In order of time: new without an earlier event, or one longer ago than the silence."""
+    last, new = {}, []
+    for i, u, k, s in sorted(rows, key=lambda row: (row[3], row[0])):
+        if (u, k) not in last or (silence is not None and s - last[u, k] > silence):
+            new.append((u, k, at(s), i))
+        last[u, k] = s
+    return sorted(new, key=repr)
+
+
+@pytest.mark.parametrize("silence", [None, 60, 150])
+def test_new_keys_over_several_runs(log, silence):
+    state = random.Random(silence)
+    rows = [(n, state.choice(["hot", "hot", "a", None]), state.choice(["x", None, f"k{n // 20}"]), state.randrange(0, 1500) + n % 2 / 2)
+            for n in range(200)]
+    rows += [(900, "tie", "x", 700), (901, "tie", "x", 700)]
+    rows.sort(key=lambda row: row[3] + state.randrange(0, 25))
+    stream = log(first(silence), STATE_STORE)
+    assert sum(stream.land(rows[n : n + 70]).late for n in range(0, len(rows), 70)) == 0
+    done = stream.land([(999, "z", "z", FAR)])
+    assert stream.rows() == brute_first(rows, silence)
+    if silence is not None:
+        assert done.state_rows <= 2  # Keys that have been silent for long hold no state.
+
+
+def test_a_silence_shorter_than_a_slice_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        first(59)(spark.readStream.schema(SCHEMA).parquet(str(tmp_path)))
+
+
+def test_odd_column_names(spark, tmp_path, log):
+    def form(events):
+        renamed = events.withColumnRenamed("user", "class").withColumnRenamed("id", "_0")
+        return first_seen_stream(renamed, ["class"], "ts", ["_0"], 30, slice_seconds=60)
+
+    stream = log(form, STATE_STORE)
+    stream.land([(1, "a", "x", 10), (2, "a", "x", 70)])
+    stream.land([(3, "z", "x", FAR)])
+    assert stream.rows() == [("a", at(10), 1)]

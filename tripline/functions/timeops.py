@@ -93,6 +93,16 @@ def utc_ntz(time: Column) -> Column:
     return as_ntz("1970-01-01 00:00:00") + F.make_dt_interval(day.cast("int"), F.lit(0), F.lit(0), seconds)
 
 
+def utc_instant(time: Column | str) -> Column:
+    """The instant (``timestamp``) of a zone-free UTC time, whatever the session's zone is; ``utc_ntz`` leads back.
+
+    Streams need it: a watermark can only stand on instants.
+    """
+    time = F.col(time) if isinstance(time, str) else time
+    micros = ((F.extract(F.lit("SECOND"), time) - F.second(time)) * 1_000_000).cast("long")
+    return F.timestamp_micros(epoch_seconds(time) * 1_000_000 + micros)
+
+
 def epoch_seconds(time: Column | str) -> Column:
     """Whole seconds since 1970 of a zone-free time, independent of any zone."""
     time = F.col(time) if isinstance(time, str) else time
