@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -126,19 +128,81 @@ def test_quality_scores(spark, documents):
 
 
 def test_pairs_of_neighbours_are_counted_once_each(spark, documents):
-    docs = documents([(1, "a b c"), (2, "b"), (3, None)])
-    vocabulary = quality.Vocabulary(["a", "b", "c"])
-    index = quality.index_vectors(vocabulary.names)
-    a, b, c = (vocabulary.names.index(name) for name in "abc")
-    vectors = quality.learn_vectors(docs, vocabulary)
-    for token, neighbours in ((a, (b, c)), (b, (a, c)), (c, (a, b))):
-        total = sum(index[n] for n in neighbours)
-        assert np.allclose(vectors[token], total / np.linalg.norm(total), atol=1e-6)
-
-
-def test_tokens_and_their_signs():
-    assert quality.tokens("The THE\nx!! ") == ["the", "<upper>", "<same>", "the", "<line>", "x", "!!"]
-    assert quality.tokens(None) == quality.tokens("") == []
+    places, signs = quality.index_vectors()
+    rows = {token: quality.row_of(token) for token in "abc"}
+    vectors = quality.learn_vectors(documents([(1, "a b c"), (2, "b"), (3, None)]))
+    for token, neighbours in (("a", "bc"), ("b", "ac"), ("c", "ab"), ("alone", ["alone"])):
+        total = np.zeros(quality.DIMENSIONS)
+        for other in neighbours:
+            row = quality.row_of(other)
+            total[places[row]] += signs[row]
+        row = rows.get(token, quality.row_of(token))
+        assert np.allclose(vectors[row], total / np.linalg.norm(total), atol=0.51 / quality._STEPS)
+
+
+def brute_tokens(text):
+    """One token after the other."""
+    out, previous = [], ""
+    for token in re.findall(r"\n|[^\W_]+|[^\w\s]+|_+", text or ""):
+        if token == "\n":
+            out.append("<line>")
+            continue
+        low = "".join(map(quality.lower, token))
+        if len(token) > 1 and token.isupper():
+            out.append("<upper>")
+        if low == previous and low[0].isalnum():
+            out.append("<same>")
+        if low[0].isalnum():
+            previous = low
+        out.append(low)
+    return out
+
+
+def cut_tokens(texts):
+    found = [[] for _ in texts]
+    for cut in quality.cut(pa.array(texts, pa.string())):
+        for text, a, b in zip(cut.texts, cut.begins, cut.begins[1:]):
+            found[text] += zip(cut.rows[a:b].tolist(), cut.kinds[a:b].tolist())
+    return found
+
+
+def kind_of(token):
+    kind = "digits" if token.isdigit() else "word" if token[0].isalnum() else "marks"
+    return quality.KINDS.index(f"<{kind}{sum(len(token) > limit for limit in (3, 6, 10))}>")
+
+
+def expected_tokens(text):
+    signs = quality.SIGNS
+    return [(signs.index(t), signs.index(t)) if t in signs else (quality.row_of(t), kind_of(t)) for t in brute_tokens(text)]
+
+
+def odd_texts(count):
+    state = random.Random(8)
+    parts = ["The", "THE", "the", " ", "\n", "\t", "__", "_", "!!", "#", "é", "É", "日本", "42", "a1", "\x1c", "\xa0", "ß", "İ", "ǅ", "Σ", "²", "x" * 12, "😀"]
+    return ["".join(state.choices(parts, k=state.randint(0, 30))) for _ in range(count)]
+
+
+def test_tokens_and_their_signs(monkeypatch):
+    texts = ["The THE\nx!! ", None, "", *odd_texts(500)]
+    assert brute_tokens(texts[0]) == ["the", "<upper>", "<same>", "the", "<line>", "x", "!!"]
+    assert cut_tokens(texts) == list(map(expected_tokens, texts))
+    monkeypatch.setattr(quality, "_SLICE_BYTES", 50)
+    texts = [" ".join(odd_texts(40)), "same same " * 60, "x", "one " * 30]
+    assert cut_tokens(texts) == list(map(expected_tokens, texts))
+
+
+def test_neighbours_across_the_parts_of_a_long_text(monkeypatch):
+    texts = pa.array(["a b c d e f g h " * 40, "x y z", " ".join(odd_texts(30))])
+
+    def sums():
+        found = quality._Contexts()
+        for cut in quality.cut(texts):
+            found.add(cut)
+        return found.sums
+
+    whole = sums()
+    monkeypatch.setattr(quality, "_SLICE_BYTES", 40)
+    assert (sums() == whole).all()
 
 
 def test_temperature_calibrates():
