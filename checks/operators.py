@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,16 @@ from tripline.functions.predicates import full_match, ilike_any, ilike_raw, is_i
 from tripline.functions.text import last_part, remote_host
 from tripline.functions.timeops import as_ntz, days_between, from_epoch_seconds, recent, span, time_slice, within
 from tripline.operators.aggs import any_of, burst, many_distinct, one_distinct, outcome_counts, sliced_actions, sorted_set
+from tripline.operators.baseline import KnownTuples
 from tripline.operators.intervals import interval_join
 from tripline.operators.latest import first_seen_flag, latest_per_key
 from tripline.operators.lookups import exclude_known, flag_known, keep_known, novel_vs_baseline, suffix_pattern_join
+from tripline.operators.ordered import first_in_order
 from tripline.operators.overlap import overlap_join
+from tripline.operators.pieces import put_together, set_pieces
+from tripline.operators.sizing import narrow_to_keys
 from tripline.operators.workdir import WorkDir
+from tripline.sources.file_times import FileTimes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,14 +74,15 @@ GROUP BY 1, 2 HAVING count(DISTINCT o_orderkey) > 2
 """
 
 
-def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").withColumn(
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").withColumn(
         "place", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3)
     )
-    baseline = within(events, "ts", "2024-01-01 00:00:00", "2024-01-08 00:00:00")
+
+
+def _new_places(novel: DataFrame) -> DataFrame:
     return (
-        novel_vs_baseline(events, baseline, ["user_id", "event_type"], "place")
-        .groupBy("user_id", "event_type")
+        novel.groupBy("user_id", "event_type")
         .agg(
             F.min("ts").alias("earliest"),
             F.max("ts").alias("latest"),
@@ -84,6 +91,25 @@ def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _placed(spark, sf_dir)
+    baseline = within(events, "ts", "2024-01-01 00:00:00", "2024-01-08 00:00:00")
+    return _new_places(novel_vs_baseline(events, baseline, ["user_id", "event_type"], "place"))
+
+
+def kept_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a baseline that learns in three steps, is compacted and learns some of it again."""
+    events = _placed(spark, sf_dir)
+    name = f"known_{uuid4().hex}"
+    folder = WorkDir.for_session(spark).new_path("baseline")
+    known = KnownTuples(spark, name, folder, ["user_id", "event_type"], "place", 8)
+    known.learn(within(events, "ts", "2024-01-01 00:00:00", "2024-01-03 00:00:00"))
+    known.learn(within(events, "ts", "2024-01-02 00:00:00", "2024-01-06 00:00:00"))
+    known.compact()
+    known.learn(within(events, "ts", "2024-01-01 00:00:00", "2024-01-08 00:00:00"))
+    return _new_places(known.novel(events))
+
+
 NOVELTY = """
 WITH placed AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_id % 3 END AS place FROM events),
 known AS (SELECT DISTINCT user_id AS u, event_type AS t, place AS p FROM placed
@@ -145,6 +171,12 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.select("event_id", F.when(F.col("first"), F.lit("first")).otherwise(F.lit("later")).alias("state"))
 
 
+def first_seen_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    flagged = first_in_order(events, ["user_id", "event_type"], "ts", ["event_id"], "first", WorkDir.for_session(spark))
+    return flagged.select("event_id", F.when(F.col("first"), F.lit("first")).otherwise(F.lit("later")).alias("state"))
+
+
 FIRST_SEEN = """
 SELECT event_id, if(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1, 'later', 'first') AS state
 FROM events
@@ -465,14 +497,68 @@ ORDER BY ts, event_type, user_id LIMIT 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of dear urgent orders, in several steps that a filter on rare keys precedes."""
+    orders = _table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 200000))
+    work = WorkDir.for_session(spark)
+    rare = work.store(orders.select(F.col("o_orderkey").cast("int").alias("key"), "o_custkey"), "rare")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    close = narrow_to_keys(lines, [{"l_orderkey": "key"}], rare, work, 0.01)
+    return close.join(rare, close["l_orderkey"] == rare["key"]).select("l_orderkey", "l_linenumber", "l_suppkey", "o_custkey")
+
+
+MEMBERSHIP = """
+SELECT l_orderkey, l_linenumber, l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000
+"""
+
+
+def pieces_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of lines by return flag, in pieces of 300, and put together again."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey")
+    pieces = set_pieces(lines, ["l_returnflag"], "l_partkey", WorkDir.for_session(spark), "parts", 300)
+    whole = put_together(pieces, ["l_returnflag"], "parts")
+    figures = pieces.groupBy(F.col("l_returnflag").alias("mode")).agg(
+        F.max(F.size("parts")).alias("largest"), F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("total")
+    )
+    return whole.join(figures, F.col("l_returnflag") == F.col("mode")).select(
+        "l_returnflag", "size", "total", (F.col("largest") <= 300).alias("bounded"), F.array_join(F.slice("parts", 1, 5), ",").alias("first_parts")
+    )
+
+
+PIECES = """
+SELECT l_returnflag, count(DISTINCT l_partkey) AS size, CAST(sum(DISTINCT l_partkey) AS BIGINT) AS total, true AS bounded,
+       array_to_string(list_slice(list_sort(list(DISTINCT l_partkey)), 1, 5), ',') AS first_parts
+FROM lineitem GROUP BY l_returnflag
+"""
+
+
+def files_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last days of a log in eight files whose times are kept beside it; two more files arrive later."""
+    work = WorkDir.for_session(spark)
+    log, index = work.new_path("log"), work.new_path("times")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    early, late = (events.where(F.col("ts") < as_ntz("2024-01-28 00:00:00")), events.where(F.col("ts") >= as_ntz("2024-01-28 00:00:00")))
+    times = FileTimes(spark, index, "ts")
+    for part, count in ((early, 8), (late, 2)):
+        part.repartitionByRange(count, "ts").write.mode("append").parquet(log)
+        times.update(spark.read.parquet(log).inputFiles())
+    return times.read(events.schema, "2024-01-26 00:00:00")
+
+
+FILES_BY_TIME = "SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-26'"
+
+
 QUERIES: dict[str, tuple[Query, str]] = {
     "hour_burst": (hour_burst, HOUR_BURST),
     "cond_burst": (cond_burst, COND_BURST),
     "novel_vs_baseline": (novelty, NOVELTY),
+    "novel_vs_kept_baseline": (kept_novelty, NOVELTY),
     "interval_join_inner": (interval_join_inner, INTERVAL_JOIN_INNER),
     "interval_join_left": (interval_join_left, INTERVAL_JOIN_LEFT),
     "latest_per_key": (latest_signup, LATEST_SIGNUP),
     "first_seen_flag": (first_seen, FIRST_SEEN),
+    "first_in_order": (first_seen_in_order, FIRST_SEEN),
     "flag_known": (known_customer, KNOWN_CUSTOMER),
     "left_one_key": (left_one_key, LEFT_ONE_KEY),
     "left_two_keys": (left_two_keys, LEFT_TWO_KEYS),
@@ -491,4 +577,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "overlap_join": (overlapping_baskets, OVERLAPPING_BASKETS),
     "recent_filter": (recent_filter, RECENT_FILTER),
     "distinct_limit": (distinct_limit, DISTINCT_LIMIT),
+    "narrow_by_membership": (membership, MEMBERSHIP),
+    "set_pieces": (pieces_of_sets, PIECES),
+    "files_by_time": (files_by_time, FILES_BY_TIME),
 }

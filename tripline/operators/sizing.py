@@ -9,9 +9,13 @@ the size.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripline.operators.membership import can_be_among
 from tripline.operators.workdir import WorkDir
 
 
@@ -25,13 +29,23 @@ def apart(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(16))
 
 
-def narrow_to_keys(big: DataFrame, alternatives: list[dict[str, str]], rare: DataFrame, work: WorkDir) -> DataFrame:
+def narrow_to_keys(
+    big: DataFrame, alternatives: list[dict[str, str]], rare: DataFrame, work: WorkDir, false_positives: float | None = None
+) -> DataFrame:
     """Keep the rows of ``big`` that can join ``rare`` in one of several ways, in one pass, and store them.
 
     ``rare`` is a stored table. Each alternative maps columns of ``big`` to
     columns of ``rare``. The result is only ever joined to ``rare`` on such
     columns, so dropping the other rows changes nothing.
+
+    With ``false_positives``, a share, a Bloom filter of the rare keys is tested in the scan
+    stage, so that where ``rare`` is too large to broadcast only its matches and that
+    share of the other rows are shuffled.
     """
+    if false_positives is not None:
+        tests = [can_be_among(big, list(on), rare, list(on.values()), false_positives) for on in alternatives]
+        if all(test is not None for test in tests):
+            big = big.where(reduce(or_, tests))
     marked, found = big, F.lit(False)
     for number, on in enumerate(alternatives):
         mark = f"_alternative_{number}"

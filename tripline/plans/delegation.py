@@ -12,6 +12,7 @@ from tripline.functions.timeops import as_ntz, days_between, recent, within
 from tripline.operators.aggs import sorted_set
 from tripline.operators.latest import latest_per_key
 from tripline.operators.lookups import novel_vs_baseline
+from tripline.operators.workdir import WorkDir
 from tripline.plans.cloud_keys import (
     ADMIN,
     GRANT_EVENT,
@@ -34,11 +35,13 @@ def novel_api_calls(
     learn_to: datetime | str = LEARN_TO,
     as_of: datetime | str | None = None,
     days: int | None = None,
+    work: WorkDir | None = None,
 ) -> DataFrame:
     """Service-account calls whose actor, address and method were not seen while learning.
 
     With ``as_of`` and ``days`` only calls of that look-back are reported, which
-    bounds the addresses a row can list.
+    bounds the addresses a row can list. With ``work`` what was learned is stored
+    there, so the log of the learning range is read once.
     """
     calls = gsuite.where(
         (F.col("id_application_name") == TOKEN) & (F.col("event_name") == TOKEN_EVENT)
@@ -55,7 +58,7 @@ def novel_api_calls(
         .groupBy(*keys, "ip_address")
         .agg(F.min("id_time").alias("earliest"), F.max("id_time").alias("latest"))
     )
-    novel = novel_vs_baseline(per_address, baseline, ["actor_email", "method_name"], "ip_address")
+    novel = novel_vs_baseline(per_address, baseline, ["actor_email", "method_name"], "ip_address", work)
     return (
         novel.groupBy(*keys)
         .agg(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tripline.functions.docs import with_documents
 from tripline.functions.timeops import DayFolders, utc_ntz
+from tripline.sources.file_times import FileTimes
 
 
 def _schema(strings: str = "", times: str = "", ints: str = "", booleans: str = "", documents: str = "") -> T.StructType:
@@ -117,6 +118,7 @@ def load_source(
     fmt: str = "parquet",
     *,
     folders: DayFolders | None = None,
+    file_times: FileTimes | None = None,
     since: datetime | str | None = None,
     until: datetime | str | None = None,
 ) -> DataFrame:
@@ -124,8 +126,14 @@ def load_source(
 
     With ``folders``, a table cut into day folders is read from ``since`` to
     ``until`` only, give or take the margin stated there. The jobs' own
-    look-backs on the event time still apply.
+    look-backs on the event time still apply. With ``file_times``, only the files
+    are opened that hold an event of that range.
     """
+    if file_times:
+        files = file_times.files(since, until)
+        if not files:
+            return spark.createDataFrame([], SCHEMAS[name])
+        return conform(spark.read.format(fmt).load(files), name)
     df = spark.read.table(location) if fmt == "table" else spark.read.format(fmt).load(location)
     if folders and since is not None:
         df = folders.since(df, since)
