@@ -164,7 +164,7 @@ SELECT CASE role
        CASE WHEN role = 3 THEN CAST(i % 3 AS INT) END AS registry_int_value_data,
        CASE WHEN i % 10 = 1 THEN '2' ELSE '1' END AS registry_operation_type,
        CASE WHEN i % 7 = 0 THEN 'gone' ELSE concat('u', i) END AS initiating_process_id
-FROM (SELECT event_id AS i, ts, user_id, event_type FROM $events) AS incidents
+FROM (SELECT $spread event_id AS i, ts, user_id, event_type FROM $events) AS incidents
 CROSS JOIN (VALUES (0), (1), (2), (3)) AS roles(role)
 """
 
@@ -185,7 +185,7 @@ SELECT CASE WHEN i % 97 <> 0 THEN ts + (n * 900 + step * 300) * $ms END AS event
        concat('file', user_id, '-', i % 4, '-', n) AS object_id,
        concat('{{"SourceRelativeUrl": "folder', n % 7, '", "UserAgent": "agent', user_id % 2, '"}}') AS raw,
        CASE WHEN (i + n) % 5 = 0 THEN '{{"file_sync_bytes_committed": "7"}}' ELSE '{{}}' END AS record_specific_details
-FROM (SELECT event_id AS i, ts, user_id FROM $events WHERE event_type = 'error') AS bursts
+FROM (SELECT $spread event_id AS i, ts, user_id FROM $events WHERE event_type = 'error') AS bursts
 CROSS JOIN {_numbers(14, "n")} CROSS JOIN {_numbers(3, "step")}
 WHERE n < 6 + i % 9
 """
@@ -203,7 +203,7 @@ SELECT ts + (n * 500) * $ms + CASE WHEN stage = 1 THEN (i % 9 * 86400 + 600) ELS
        concat('{{"SourceRelativeUrl": "folder', CASE WHEN i % 11 = 0 THEN 0 ELSE n % 7 END,
               '", "UserAgent": "agent', user_id % 2, '"}}') AS raw,
        '{{}}' AS record_specific_details
-FROM (SELECT event_id AS i, ts, user_id FROM $events WHERE event_type = 'signup' AND event_id % 4 <> 3) AS bursts
+FROM (SELECT $spread event_id AS i, ts, user_id FROM $events WHERE event_type = 'signup') AS bursts
 CROSS JOIN {_numbers(67, "n")} CROSS JOIN {_numbers(2, "stage")}
 WHERE n < 55 + i % 13
 """
@@ -261,7 +261,7 @@ VIEWS = {
 }
 
 _SPARK = {"t0": "TIMESTAMP_NTZ'2024-01-01 00:00:00'", "ms": "INTERVAL '0.001' SECOND"}
-_ORACLE = {"t0": "TIMESTAMP '2024-01-01 00:00:00'", "ms": "INTERVAL '1' MILLISECOND"}
+_ORACLE = {"t0": "TIMESTAMP '2024-01-01 00:00:00'", "ms": "INTERVAL '1' MILLISECOND", "spread": "/* */"}
 _SHARED = {"bs": BACKSLASH, "sec": "INTERVAL '1' SECOND"}
 
 
@@ -272,7 +272,9 @@ def _fill(text: str, tokens: dict[str, str], table) -> str:
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived source, checked against its schema and with its documents parsed."""
-    df = spark.sql(_fill(VIEWS[name], _SPARK, lambda table: f"parquet.`{sf_dir}/{table}.parquet`"))
+    # A table that comes in one file is dealt out before its rows are unfolded.
+    tokens = {**_SPARK, "spread": f"/*+ REPARTITION({2 * spark.sparkContext.defaultParallelism}) */"}
+    df = spark.sql(_fill(VIEWS[name], tokens, lambda table: f"parquet.`{sf_dir}/{table}.parquet`"))
     source = "o365_audit" if name.startswith("o365") else name
     assert source in SCHEMAS
     return conform(df, source)
