@@ -70,6 +70,31 @@ def test_shards_give_what_one_automaton_gives(spark, documents, monkeypatch):
     assert found(spark, documents, docs, items) == whole
 
 
+def test_an_item_longer_than_a_shard_is_cut_with_overlap(spark, documents, monkeypatch):
+    """Every window of a long item is found, whichever part it is in; nothing is built on the driver."""
+    words = [f"w{n}" for n in range(60)]
+    docs = [(n, " ".join(["x", *words[n : n + 10], "y"])) for n in range(51)] + [(99, " ".join(words)), (100, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    items = [(1, " ".join(words)), (2, "short one")]
+    whole = found(spark, documents, docs, items)
+    assert all(whole[n] == (12, [(1, 11)], ["1"]) for n in range(51)) and whole[99] == (60, [(0, 60)], ["1"])
+    monkeypatch.setattr(decontam.automata, "__defaults__", (10, 13))
+    assert found(spark, documents, docs, items) == whole
+
+
+def test_repeated_documents_very_long_ones_and_clashing_columns(spark, documents, monkeypatch):
+    docs = [(1, PASSAGE), (1, PASSAGE), (1, f"other {PASSAGE}"), (2, "a " * 60_000 + PASSAGE), (None, PASSAGE)]
+    items = [(7, PASSAGE), (8, " ".join(f"q{n}" for n in range(12)))]
+    for bound in (1000, 12):
+        monkeypatch.setattr(decontam.automata, "__defaults__", (10, bound))
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        rows = decontam.find_contamination(documents(docs), benchmark).collect()
+        hits = sorted((r["doc_id"] or 0, r["n_words"], sum(s["end"] - s["start"] for s in r["spans"])) for r in rows)
+        assert hits == [(0, 12, 12), (1, 12, 12), (1, 12, 12), (1, 13, 12), (2, 60_012, 12)]
+        frame = documents(docs).withColumnsRenamed({"found": "row", "key": "cut", "size": "words", "fingerprint": "spans"})
+        kept = decontam.remove_contamination(frame, benchmark)
+        assert kept.columns == frame.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def test_no_benchmark_and_no_documents(spark, documents):
     assert found(spark, documents, [(1, "a b")], []) == {1: (2, [], [])}
     assert found(spark, documents, [], [(1, "a")]) == {}

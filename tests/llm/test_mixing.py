@@ -57,6 +57,33 @@ def test_taken_words_come_near_their_targets(documents, work):
     assert rows_of(found, "doc_id", mixing.COPIES) == rows_of(again, "doc_id", mixing.COPIES)
 
 
+def test_copies_weigh_as_one_text_and_take_newton_steps(documents, work):
+    """A third of a source's rows are one text: its rate is lower, and the target is met all the same."""
+    texts = ["copied " * 40 if n % 3 == 0 else f"own{n} " * (1 + n % 90) for n in range(600)]
+    docs = documents([(n, text, None, "a" if n % 2 else "b") for n, text in enumerate(texts)])
+    found = mixing.mix(mixing.sized(docs), work)
+    rates = {(r["source"], r["text"].startswith("copied")): set() for r in docs.collect()}
+    for row in found.collect():
+        rates[row["source"], row["text"].startswith("copied")].add(round(row[mixing.RATE], 9))
+    assert all(len(rate) == 1 for rate in rates.values())
+    for source in "ab":
+        copied, own = (next(iter(rates[source, which])) for which in (True, False))
+        plain = found.where(F.col("source") == source).select(F.col(mixing.TARGET) / F.col(mixing.SOURCE_SIZE)).first()[0]
+        # The first source is taken twice as a whole; the other one's words are met by unequal rates.
+        assert copied == plain == own == 2 if source == "a" else copied < plain < own <= 2
+        assert own == 2 or copied == pytest.approx(own / 100)
+    taken = F.sum(F.col(mixing.SIZE) * F.col(mixing.COPIES)).alias("taken")
+    for row in found.groupBy("source").agg(taken, F.max(mixing.TARGET).alias("target")).collect():
+        assert abs(row["taken"] - row["target"]) <= 0.02 * row["target"]
+
+
+def test_a_source_of_copies_that_is_taken_twice(documents, work):
+    """Its target is twice its size, so every rate must reach the cut."""
+    docs = documents([(n, "same text", None, "a") for n in range(50)] + [(100, "alone here", None, "a"), (101, "w " * 900, None, "b")])
+    found = mixing.mix(mixing.sized(docs), work)
+    assert {r[mixing.COPIES] for r in found.where("source = 'a'").collect()} == {2}
+
+
 def test_newton_steps_meet_the_constraints_with_base_rates_and_a_cut(spark, work):
     cells = [("a", 1.0, 100), ("a", 5.0, 40), ("a", 0.1, 60), ("b", 1.0, 10)]
     targets = spark.createDataFrame([("a", 200, 4, 210.0), ("b", 10, 1, 3.0)], "source string, source_size long, n_docs long, target double")

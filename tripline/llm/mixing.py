@@ -7,6 +7,10 @@ base rates exponentially by one multiplier per source, cut at the largest
 allowed rate; Newton steps on the convex dual find the multipliers. Each step
 is one aggregation; sources are rows of a table, never a list on the driver.
 
+The base rate of a document is one over the number of its source's rows with the
+same text, so copies of a text weigh as much as one, however many there are;
+a multiplier then has no closed form where a source has copies.
+
 Rates become whole copies by carrying the rounding error, counted in words,
 from document to document within small groups of a source, the largest first,
 so that a group misses its target by about half of its smallest document. The
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripline.llm.common import INNER, word_count
+from tripline.operators.sizing import apart
 from tripline.operators.workdir import WorkDir
 
 WEIGHTS = (5, 2, 1)
@@ -40,7 +45,7 @@ MAX_STEPS = 60
 
 SOURCE, SIZE, SOURCE_SIZE = f"{INNER}source", f"{INNER}size", f"{INNER}source_size"
 TARGET, RATE, GROUP, COPIES = f"{INNER}target", f"{INNER}rate", f"{INNER}group", f"{INNER}copies"
-DOCS, TILT, TIE = f"{INNER}docs", f"{INNER}tilt", f"{INNER}tie"
+DOCS, TILT, TIE, BASE = f"{INNER}docs", f"{INNER}tilt", f"{INNER}tie", f"{INNER}base"
 
 
 def _same(a: str, b: str):
@@ -139,16 +144,30 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn(SIZE, word_count("text")).withColumn(TIE, F.xxhash64("text"))
 
 
+def with_base(sized: DataFrame, work: WorkDir) -> DataFrame:
+    """``sized`` with the base rate of each row, one over the number of its source's rows with the same text.
+
+    Only texts that repeat are counted in a table of their own, so the rows
+    are moved only where that table is too large to broadcast.
+    """
+    rows = sized.select(F.col("source").alias("of_source"), F.col(TIE).alias("of_text"))
+    copies = rows.groupBy("of_source", "of_text", apart(["of_source", "of_text"]).alias("part")).agg(F.count("*").alias("rows"))
+    copies = work.store(copies.where(F.col("rows") > 1).drop("part"), "copies")
+    joined = sized.join(copies, _same("source", "of_source") & (F.col(TIE) == F.col("of_text")), "left")
+    return joined.withColumn(BASE, 1 / F.coalesce("rows", F.lit(1))).drop("of_source", "of_text", "rows")
+
+
 def mix(sized: DataFrame, work: WorkDir, base: str | None = None, max_copies: float = MAX_COPIES) -> DataFrame:
     """``sized`` with source size, target, rate and copies in columns named by this module's constants.
 
     ``sized`` comes from the function of that name; besides its columns only
     ``doc_id`` and ``source`` are needed, and all columns there are get carried
-    along. ``base`` names a column of base rates; without it they are 1.
+    along. ``base`` names a column of base rates above 0; without it they are those of
+    ``with_base``.
     """
-    sizes = work.store(
-        sized.select("source", F.col(SIZE).alias("size"), (F.col(base) if base else F.lit(1.0)).alias("base")), "sizes"
-    )
+    if not base:
+        sized, base = with_base(sized, work), BASE
+    sizes = work.store(sized.select("source", F.col(SIZE).alias("size"), F.col(base).cast("double").alias("base")), "sizes")
     targets = work.store(source_targets(sizes, max_copies=max_copies), "targets")
     cells = work.store(sizes.groupBy("source", "base").agg(F.sum("size").alias("size")), "cells")
     tilts = balance(cells, targets, work, max_copies).select(
@@ -158,13 +177,13 @@ def mix(sized: DataFrame, work: WorkDir, base: str | None = None, max_copies: fl
         F.col("n_docs").alias(DOCS),
         F.col("tilt").alias(TILT),
     )
-    rate = F.least((F.col(base) if base else F.lit(1.0)) * F.exp(TILT), F.lit(max_copies))
+    rate = F.least(F.col(base) * F.exp(TILT), F.lit(max_copies))
     groups = F.ceil(F.col(DOCS) / GROUP_ROWS)
     joined = (
         sized.join(tilts, _same("source", SOURCE))
         .withColumn(RATE, F.coalesce(rate, F.lit(0.0)))
         .withColumn(GROUP, F.pmod(F.xxhash64("doc_id", SIZE), groups))
-        .drop(DOCS, TILT)
+        .drop(DOCS, TILT, BASE)
     )
     dealt = joined.repartition(SOURCE, GROUP).sortWithinPartitions(
         SOURCE, GROUP, F.col(SIZE).desc(), "doc_id", TIE

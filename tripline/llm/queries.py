@@ -45,7 +45,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bounded_batches
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, and the items they come from."""
-    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontam.find_contamination(docs, items, work=WorkDir.for_session(spark))
     hit = decontam.hit_words(F.col("spans"))
     return found.select(
         "doc_id",
