@@ -31,6 +31,18 @@ def test_words_encode_as_the_whole_text_does(monkeypatch):
     assert encoder.encode(pa.array([], pa.string())) == []
 
 
+def test_random_words_and_a_tokenizer_that_prepares_text_in_another_way():
+    state, encoder = random.Random(4), token_files.WordEncoder(PATH)
+    letters = "abcÉéßZ'.,-<|>1é日"
+    texts = [" ".join("".join(state.choices(letters, k=state.randint(1, 9))) for _ in range(40)) for _ in range(150)]
+    assert encoder.by_words and [ids.tolist() for ids in encoder.encode(pa.array(texts, pa.string()))] == reference(texts)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    assert not other.by_words
+    wanted = [library.encode(text or "", add_special_tokens=False).ids for text in [*texts, None]]
+    assert [ids.tolist() for ids in other.encode(pa.array([*texts, None], pa.string()))] == wanted
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 129, 5000, 140_000])
 def test_blocks_round_trip_and_decode_by_stretch(size):
     state = np.random.default_rng(size)

@@ -15,8 +15,8 @@ on their texts only.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,10 +37,11 @@ END_ID = 1
 #: A block closes with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 20
 #: Characters that are encoded together.
-_SLICE_CHARS = 1 << 20
-_REMEMBERED = 120_000
+_SLICE_CHARS = 1 << 22
+#: Words that a task remembers.
+_REMEMBERED = 250_000
 #: Latin letters whose lower case and composed form do not depend on what stands around them, then ASCII marks.
-_LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS_AND_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 # A byte-level vocabulary writes printable bytes as themselves and the others from U+0100 on, in order.
@@ -48,6 +49,29 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTERS = {byte: chr(0x100 + n) for n, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+# How the tokenizer file that words can be encoded apart for prepares text and cuts it.
+_PREPARED = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _byte_letters(piece: str) -> str:
     return piece.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
 
@@ -65,6 +89,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        spec = json.loads(self.tokenizer.to_str())
+        #: The short way holds for files that prepare text and cut pieces in this way; others encode whole texts.
+        self.by_words = (spec["normalizer"], spec["pre_tokenizer"]) == (_PREPARED, _CUT) and not spec["truncation"]
         self.forget()
 
     def forget(self) -> None:
@@ -79,21 +106,20 @@ class WordEncoder:
         pa.default_memory_pool().release_unused()
 
     def _learn_words(self, new: list[str]) -> None:
-        pieces = self._pieces
-        known, match = len(pieces), _LETTERS_AND_MARKS.fullmatch
-        first, second = [], []
-        for text in new:
-            found = match(text)
-            if found:
-                letters, marks = found.groups()
-                first.append(pieces.setdefault(letters.lower(), len(pieces)))
-                second.append(pieces.setdefault(marks, len(pieces)) if marks else -1)
-            else:
-                # No piece has a blank, so one in front tells words that are a piece as they are.
-                first.append(pieces.setdefault(" " + text, len(pieces)))
-                second.append(-1)
-        self._first = np.concatenate((self._first, np.array(first, dtype=np.int64)))
-        self._second = np.concatenate((self._second, np.array(second, dtype=np.int64)))
+        """Which pieces new words are made of. No piece has a blank, so one in front tells words that are a piece as they are."""
+        words, pieces = pa.array(new, pa.string()), self._pieces
+        found = pc.extract_regex(words, _LETTERS_AND_MARKS)
+        whole = pc.binary_join_element_wise("", words, " ")
+        first = pc.if_else(found.is_null(), whole, pc.utf8_lower(pc.struct_field(found, "letters")))
+        marks = pc.struct_field(found, "marks")
+        marks = pc.if_else(pc.equal(marks, ""), pa.scalar(None, pa.string()), marks)
+        coded = pa.concat_arrays([first, marks]).dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), len(pieces)
+        number = np.array([pieces.setdefault(piece, len(pieces)) for piece in distinct], dtype=np.int64)
+        at = coded.indices.fill_null(-1).to_numpy()
+        at = np.where(at >= 0, number[at], -1)
+        self._first = np.concatenate((self._first, at[: len(new)]))
+        self._second = np.concatenate((self._second, at[len(new) :]))
         if len(pieces) > known:
             self._learn_pieces(list(islice(pieces, known, None)))
 
@@ -116,6 +142,9 @@ class WordEncoder:
         """Ids of each text, without an end id."""
         if not len(texts):
             return []
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch([text or "" for text in texts.to_pylist()], add_special_tokens=False)
+            return [np.array(one.ids, dtype=np.uint32) for one in whole]
         if len(self._words) > _REMEMBERED:
             self.forget()
         split = pc.ascii_split_whitespace(texts.fill_null(""))
