@@ -15,6 +15,7 @@ from tripline import plans
 from tripline.functions.timeops import DayFolders
 from tripline.operators.workdir import WorkDir
 from tripline.sources import load_source
+from tripline.sources.file_times import FileTimes
 
 # The tables' times lie in January 2024; each job looks back from a day that puts its bound into that month.
 AS_OF = "2024-02-08 00:00:00"
@@ -301,6 +302,24 @@ def elevated_com_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.elevated_com_children(spark_view(spark, sf_dir, "edr_raw"), AS_OF, WorkDir.for_session(spark))
 
 
+def _stored(
+    spark: SparkSession, sf_dir: str, view: str, source: str, work: WorkDir, since: str, documents: tuple[str, ...] = ()
+) -> DataFrame:
+    """A log as it is stored: files in order of time, documents as JSON text, the files' times kept beside it."""
+    log = spark_view(spark, sf_dir, view)
+    path = work.new_path(view)
+    log.withColumns({name: F.to_json(name) for name in documents}).repartitionByRange(16, "event_time").write.parquet(path)
+    times = FileTimes(spark, work.new_path("times"))
+    times.rebuild(path)
+    return load_source(spark, source, path, file_times=times, since=since)
+
+
+def stored_com_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stored log of which only files with events of the look-back are opened."""
+    work = WorkDir.for_session(spark)
+    return plans.elevated_com_children(_stored(spark, sf_dir, "edr_raw", "edr_raw", work, "2024-01-09 00:00:00"), AS_OF, work)
+
+
 ELEVATED_COM_CHILDREN = (
     oracle_views("edr_raw")
     + """,
@@ -452,13 +471,23 @@ GROUP BY ALL HAVING count(DISTINCT object_id) >= 10
 )
 
 
-def staged_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = plans.staged_encrypt(spark_view(spark, sf_dir, "o365_staged"), WorkDir.for_session(spark))
+def _staged_text(result: DataFrame) -> DataFrame:
     return joined_sets(
         joined(result, "involved_files", "matched_files"), "collection_seen_actions", "encryption_seen_actions"
     )
 
 
+def staged_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged_text(plans.staged_encrypt(spark_view(spark, sf_dir, "o365_staged"), WorkDir.for_session(spark)))
+
+
+def stored_staged_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stored log; its events without a time, which stages of their own could hold, are read as well."""
+    work = WorkDir.for_session(spark)
+    log = _stored(spark, sf_dir, "o365_staged", "o365_audit", work, "2024-01-01 00:00:00", ("raw", "record_specific_details"))
+    return _staged_text(plans.staged_encrypt(log, work))
+
+
 STAGED_ENCRYPT = (
     oracle_views("o365_staged")
     + ","
@@ -528,6 +557,25 @@ WHERE d < 7 AND s = 'Enabled' AND NOT ends_with(source_ip_address, '.amazonaws.c
 )
 
 
+def short_lifecycle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every rule of requests that hold several."""
+    return plans.short_lifecycle(spark_view(spark, sf_dir, "cloudtrail"), rule_lists=True)
+
+
+SHORT_LIFECYCLE_LISTS = SHORT_LIFECYCLE.replace(
+    "rules AS (",
+    """single AS (
+  SELECT * REPLACE (json_object('LifecycleConfiguration', json_object('Rule', rule), 'bucketName', bucket) AS request_parameters)
+  FROM (SELECT *, unnest(CASE json_type(request_parameters, '$.LifecycleConfiguration.Rule') WHEN 'ARRAY'
+                         THEN CAST(json_extract(request_parameters, '$.LifecycleConfiguration.Rule') AS JSON[])
+                         ELSE [json_extract(request_parameters, '$.LifecycleConfiguration.Rule')] END) AS rule,
+               request_parameters ->> 'bucketName' AS bucket
+        FROM cloudtrail)
+),
+rules AS (""",
+).replace("FROM cloudtrail WHERE", "FROM single WHERE")
+
+
 def object_deletion_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.object_deletion_burst(
         spark_view(spark, sf_dir, "cloudtrail"), spark_view(spark, sf_dir, "org_ip")
@@ -570,6 +618,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "webdav_script_execution": (webdav_script_execution, WEBDAV_SCRIPT_EXECUTION),
     "webdav_retrieval_hosts": (webdav_retrieval_hosts, WEBDAV_RETRIEVAL_HOSTS),
     "elevated_com_children": (elevated_com_children, ELEVATED_COM_CHILDREN),
+    "stored_com_children": (stored_com_children, ELEVATED_COM_CHILDREN),
     "consent_prompt_disabled": (consent_prompt_disabled, CONSENT_PROMPT_DISABLED),
     "hta_target": (hta_target, HTA_TARGET),
     "hta_children": (hta_children, HTA_CHILDREN),
@@ -577,7 +626,9 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "hta_files": (hta_files, HTA_FILES),
     "immediate_encrypt": (immediate_encrypt, IMMEDIATE_ENCRYPT),
     "staged_encrypt": (staged_encrypt, STAGED_ENCRYPT),
+    "stored_staged_encrypt": (stored_staged_encrypt, STAGED_ENCRYPT),
     "foreign_kms_encryption": (foreign_kms_encryption, FOREIGN_KMS_ENCRYPTION),
     "short_lifecycle": (short_lifecycle, SHORT_LIFECYCLE),
+    "short_lifecycle_lists": (short_lifecycle_lists, SHORT_LIFECYCLE_LISTS),
     "object_deletion_burst": (object_deletion_burst, OBJECT_DELETION_BURST),
 }

@@ -163,6 +163,22 @@ def test_consent_prompt_disabled(work, table):
     ]
 
 
+def test_the_writing_process_may_have_to_be_near_the_write(work, table):
+    write = {
+        "event_time": "2024-01-30 12:00:00", "aid": "a", "event_name": "RegSystemConfigValueUpdate", "registry_int_value_data": 0,
+        "registry_key": r"HKLM\Software\Microsoft\Windows\CurrentVersion\Policies\System",
+        "registry_value_name": "ConsentPromptBehaviorAdmin", "registry_operation_type": "1", "initiating_process_id": "u1",
+    }
+    times = ["11:49:59", "11:50:00", "12:00:00", "12:00:01"]
+    processes = [process(f"cmd {t}", time=f"2024-01-30 {t}", target_process_uid="u1") for t in times]
+    raw, log = table("edr_raw", [write]), table("edr_process", processes)
+    found = plans.consent_prompt_disabled(raw, log, AS_OF, work, within_seconds=600).collect()
+    assert sorted(r["initiating_process_command_line"] for r in found) == ["cmd 11:50:00", "cmd 12:00:00"]
+    none = plans.consent_prompt_disabled(raw, log.where("event_time < timestamp_ntz'2024-01-30 11:00:00'"), AS_OF, work, within_seconds=600)
+    assert [r["initiating_process_command_line"] for r in none.collect()] == [None]
+    assert plans.consent_prompt_disabled(raw, log, AS_OF, work).count() == 4
+
+
 HTA_CASES = [
     ("mshta.exe", "mshta HTTP://x", True),
     ("MSHTA.EXE", r"mshta c:\USERS\public\a.hta", True),

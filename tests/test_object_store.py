@@ -116,3 +116,21 @@ def test_short_lifecycle(table):
     assert {(r["user_agent"], r["expiration_days"]) for r in found} == {("in", 6), ("text days", 6), ("denied", 1)}
     assert len(found[0]) == 15
     assert short_lifecycle(table("cloudtrail", [rule(8)]), max_days=9).count() == 1
+
+
+def test_rules_in_lists(table):
+    def several(*rules, agent):
+        return rule(1, user_agent=agent, request_parameters={"bucketName": "b", "LifecycleConfiguration": {"Rule": list(rules)}})
+
+    short, off = {"Expiration": {"Days": 2}, "Status": "Enabled"}, {"Expiration": {"Days": 2}, "Status": "Disabled"}
+    rows = [
+        several(short, off, {"Status": "Enabled"}, {"Expiration": {"Days": 3}, "Status": "Enabled"}, agent="four"),
+        several(agent="none"),
+        several("text", 7, None, short, agent="odd"),
+        rule(6, user_agent="single"),
+        rule(6, user_agent="nothing", request_parameters=None),
+    ]
+    found = short_lifecycle(table("cloudtrail", rows), rule_lists=True).collect()
+    assert sorted((r["user_agent"], r["expiration_days"]) for r in found) == [("four", 2), ("four", 3), ("odd", 2), ("single", 6)]
+    assert len(found[0]) == 15 and {r["bucket_name"] for r in found if r["user_agent"] == "four"} == {"b"}
+    assert [r["user_agent"] for r in short_lifecycle(table("cloudtrail", rows)).collect()] == ["single"]

@@ -18,6 +18,13 @@ def doc_get(document: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(document, f"$.{path}", kind)
 
 
+def doc_list(document: Column | str, path: str) -> Column:
+    """The documents of an array at a dotted path; a single document there is an array of one, a missing path an empty one."""
+    single = F.try_variant_get(document, f"$.{path}", "variant")
+    listed = F.try_variant_get(document, f"$.{path}", "array<variant>")
+    return F.coalesce(listed, F.array_compact(F.array(single)))
+
+
 def with_documents(df: DataFrame, *names: str) -> DataFrame:
     """Turn JSON text columns into documents; variant columns stay as they are."""
     texts = [name for name in names if isinstance(df.schema[name].dataType, T.StringType)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripline.functions.predicates import ilike_any, ilike_raw, is_internal_host, like_raw
 from tripline.functions.text import remote_host
-from tripline.functions.timeops import recent
+from tripline.functions.timeops import span, recent
 from tripline.operators.intervals import interval_join
 from tripline.operators.sizing import narrow_to_keys
 from tripline.operators.workdir import WorkDir
@@ -166,11 +166,17 @@ def elevated_com_children(
 
 
 def consent_prompt_disabled(
-    edr_raw: DataFrame, edr_process: DataFrame, as_of: datetime | str, work: WorkDir, days: int = 30
+    edr_raw: DataFrame,
+    edr_process: DataFrame,
+    as_of: datetime | str,
+    work: WorkDir,
+    days: int = 30,
+    within_seconds: int | None = None,
 ) -> DataFrame:
     """Registry writes that switch the administrator consent prompt off, with the writing process.
 
-    Writes are rare and stored in ``work`` once, and so is what the process log
+    With ``within_seconds`` a process only counts as the writer if the log has it at most so long before the write
+    or at the same time; by default whenever it has it. Writes are rare and stored in ``work`` once, and so is what the process log
     has of the processes they name, when the job is called.
     """
     writes = work.store(
@@ -201,13 +207,16 @@ def consent_prompt_disabled(
         "target_process_uid",
         F.col("target_process_commandline").alias("initiating_process_command_line"),
         F.col("target_process_hash").alias("initiating_process_hash"),
+        F.col("event_time").alias("_process_time"),
     )
     on = {"agent_id": "aid", "target_process_uid": "initiating_process_id"}
     processes = narrow_to_keys(processes, [on], writes, work)
     same_process = [F.col(a) == F.col(b) for a, b in on.items()]
-    return (
-        writes.join(processes, same_process, "left").drop("agent_id", "target_process_uid").orderBy("event_time")
-    )
+    if within_seconds is not None:
+        earliest = F.col("event_time") - span(within_seconds, "SECOND")
+        same_process.append(F.col("_process_time").between(earliest, F.col("event_time")))
+    found = writes.join(processes, same_process, "left")
+    return found.drop("agent_id", "target_process_uid", "_process_time").orderBy("event_time")
 
 
 def _runs_hta(process: str, command_line: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripline.functions.docs import doc_get
+from tripline.functions.docs import doc_get, doc_list
 from tripline.functions.predicates import like_raw
 from tripline.functions.text import role_of_session
 from tripline.functions.timeops import HOUR, time_slice
@@ -60,18 +60,24 @@ def foreign_kms_encryption(cloudtrail: DataFrame, own_accounts: Sequence[str]) -
     ).select("start_time", "end_time", *keys, "successful_attempts", "failed_attempts", "object_count")
 
 
-def short_lifecycle(cloudtrail: DataFrame, max_days: int = 7) -> DataFrame:
+def short_lifecycle(cloudtrail: DataFrame, max_days: int = 7, rule_lists: bool = False) -> DataFrame:
     """Enabled expiry rules of fewer than ``max_days`` days, set by anyone but a cloud service.
 
-    Denied attempts are included. Only the single-rule form of the request has
-    the path read here.
+    Denied attempts are included. A request may hold one rule or a list of them; only
+    the first form has the path that is read by default. With ``rule_lists``
+    every rule of a list is a row of its own.
     """
-    rule = "LifecycleConfiguration.Rule"
+    path = "LifecycleConfiguration.Rule"
+    requests = cloudtrail.where(
+        (F.col("event_source") == STORE) & _from_outside() & (F.col("event_name") == LIFECYCLE_EVENT)
+    )
+    if rule_lists:
+        requests = requests.withColumn("_rule", F.explode(doc_list("request_parameters", path)))
+        rule = lambda name, kind="string": doc_get("_rule", name, kind)
+    else:
+        rule = lambda name, kind="string": doc_get("request_parameters", f"{path}.{name}", kind)
     return (
-        cloudtrail.where(
-            (F.col("event_source") == STORE) & _from_outside() & (F.col("event_name") == LIFECYCLE_EVENT)
-        )
-        .select(
+        requests.select(
             "event_time",
             "user_identity_arn",
             "user_identity_user_name",
@@ -84,8 +90,8 @@ def short_lifecycle(cloudtrail: DataFrame, max_days: int = 7) -> DataFrame:
             "source_ip_address",
             "user_agent",
             doc_get("request_parameters", "bucketName").alias("bucket_name"),
-            doc_get("request_parameters", f"{rule}.Expiration.Days", "int").alias("expiration_days"),
-            doc_get("request_parameters", f"{rule}.Status").alias("status"),
+            rule("Expiration.Days", "int").alias("expiration_days"),
+            rule("Status").alias("status"),
             "error_code",
         )
         .where((F.col("expiration_days") < max_days) & (F.col("status") == "Enabled"))
