@@ -24,6 +24,7 @@ from tests.llm.test_decontam import brute
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_rules import brute as brute_statistics
 from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tripline.llm import token_counts
 from tripline.llm.queries import ORACLES, QUERIES
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -57,6 +58,35 @@ def test_languages_of_documents_that_were_held_out(spark, docs):
     assert np.mean([found[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]) >= 0.95
 
 
+def best_count(word, scores, unknown):
+    """Tokens of the best segmentation of one word, over all of its substrings."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        letter, options = word[end - 1], []
+        if letter not in scores:
+            options.append((best[-1][0] + unknown, -best[-1][1] - len(letter.encode())))
+        for start in range(max(0, end - 16), end):
+            score = scores.get(word[start:end])
+            if score is not None:
+                options.append((best[start][0] + score, -best[start][1] - 1))
+        value, tokens = max(options)
+        best.append((value, -tokens))
+    return best[-1][1]
+
+
+def test_token_counts_of_whole_texts(spark, docs):
+    scores = token_counts.load_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, scores)) <= 16
+    unknown, seen = min(scores.values()) - token_counts.UNKNOWN_PENALTY, {}
+    found = run(spark, "op3_token_counts")
+    for doc in docs:
+        split = WORDS.findall(doc["text"] or "")
+        for word in split:
+            if word not in seen:
+                seen[word] = best_count("▁" + word, scores, unknown)
+        assert tuple(found[doc["doc_id"]]) == (doc["doc_id"], len(split), sum(map(seen.__getitem__, split)))
+
+
 def test_token_files_in_order(spark, docs):
     found, at = run(spark, "op4_token_files"), 0
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
