@@ -14,10 +14,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.jobs import FOREIGN_KMS_ENCRYPTION, OBJECT_DELETION_BURST, OWN_ACCOUNTS
 from checks.operators import INTERVAL_JOIN_INNER, INTERVAL_JOIN_LEFT
+from checks.views import spark_view
 from tripline.functions.timeops import as_ntz, epoch_seconds
 from tripline.operators.workdir import WorkDir
-from tripline.streaming import Drained, burst_stream, drain, first_seen_stream, interval_join_stream
+from tripline.sources import conform
+from tripline.streaming import (
+    Drained,
+    burst_stream,
+    drain,
+    first_seen_stream,
+    foreign_kms_encryption_stream,
+    interval_join_stream,
+    object_deletion_burst_stream,
+)
 from tripline.streaming.first_seen import STATE_STORE
 
 RUNS = 4
@@ -146,10 +157,72 @@ FROM marked WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mar
 QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > INTERVAL {DAY} SECOND, true)
 """
 
+def _new_tuples(events: DataFrame) -> DataFrame:
+    placed = events.withColumn("place", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3))
+    return first_seen_stream(placed, ["user_id", "event_type", "place"], "ts", ["event_id"], LONG)
+
+
+def novelty_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples that were not seen in the first twelve days; what is known is the state."""
+    found, _ = _run(spark, sf_dir, _new_tuples, [None], STATE_STORE)
+    return found.where(F.col("ts").between(as_ntz("2024-01-12 00:00:00"), as_ntz("2025-01-01 00:00:00")))
+
+
+NOVELTY_STREAM = """
+SELECT user_id, event_type, place, ts, event_id
+FROM (SELECT *, CASE WHEN event_id % 7 <> 0 THEN event_id % 3 END AS place FROM events)
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type, place ORDER BY ts, event_id) = 1
+    AND ts BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2025-01-01'
+"""
+
+
+def _over_access_log(
+    spark: SparkSession, sf_dir: str, form: Callable[[DataFrame], DataFrame], heartbeat: dict[str, str]
+) -> DataFrame:
+    """All output of a stream over the access log, stored as it arrives in two halves with its documents as JSON text."""
+    work = WorkDir.for_session(spark)
+    landing, out, checkpoint = (work.new_path(name) for name in ("landing", "found", "checkpoint"))
+    log = spark_view(spark, sf_dir, "cloudtrail").withColumn("request_parameters", F.to_json("request_parameters"))
+    log = work.store(log, "log")
+    middle = log.agg(F.percentile_approx(epoch_seconds("event_time"), 0.5)).first()[0]
+    first = F.coalesce(epoch_seconds("event_time") <= middle, F.lit(True))
+    beat = spark.range(1).select(
+        *[F.lit(heartbeat.get(name)).cast(log.schema[name].dataType).alias(name) for name in log.columns if name != "event_time"],
+        as_ntz(_HEARTBEAT).alias("event_time"),
+    )
+    for arriving in (log.where(first), log.where(~first).unionByName(beat)):
+        arriving.write.mode("append").parquet(landing)
+        stream = form(conform(spark.readStream.schema(log.schema).parquet(landing), "cloudtrail"))
+        drain(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def object_deletion_burst_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    org_ips = spark_view(spark, sf_dir, "org_ip")
+    beat = {"event_name": "DeleteObject", "event_source": "s3.amazonaws.com", "source_ip_address": "heartbeat"}
+    return _over_access_log(spark, sf_dir, lambda log: object_deletion_burst_stream(log, org_ips, DAY), beat)
+
+
+def foreign_kms_encryption_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beat = {
+        "event_name": "PutObject", "source_ip_address": "heartbeat", "request_kms_key_alias": "alias/other",
+        "request_kms_key_aws_account": "999999999999",
+    }
+    return _over_access_log(spark, sf_dir, lambda log: foreign_kms_encryption_stream(log, OWN_ACCOUNTS, DAY), beat)
+
+
+def _timed(sql: str) -> str:
+    """The batch oracle without the events that have no time."""
+    return sql.replace("FROM cloudtrail", "FROM (SELECT * FROM cloudtrail WHERE event_time IS NOT NULL) AS cloudtrail")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "hour_burst_stream": (hour_burst_stream, HOUR_BURST_STREAM),
     "late_events": (late_events, LATE_EVENTS),
     "interval_join_stream_inner": (interval_join_stream_inner, INTERVAL_JOIN_INNER),
     "interval_join_stream_left": (interval_join_stream_left, INTERVAL_JOIN_LEFT),
     "first_seen_stream": (first_seen_stream_query, FIRST_SEEN_STREAM),
+    "novelty_stream": (novelty_stream, NOVELTY_STREAM),
+    "object_deletion_burst_stream": (object_deletion_burst_live, _timed(OBJECT_DELETION_BURST)),
+    "foreign_kms_encryption_stream": (foreign_kms_encryption_live, _timed(FOREIGN_KMS_ENCRYPTION)),
 }

@@ -195,3 +195,34 @@ def test_odd_column_names(spark, tmp_path, log):
     stream.land([(1, "a", "x", 10), (2, "a", "x", 70)])
     stream.land([(3, "z", "x", FAR)])
     assert stream.rows() == [("a", at(10), 1)]
+
+
+def test_keys_of_every_scalar_type_that_may_be_null(spark, log):
+    """Numbers beyond 2^53 and NULLs go through state unchanged."""
+
+    def form(events):
+        typed = events.select(
+            "ts", "id", F.when(F.col("id") % 3 != 0, (1 << 53) + 1 + F.col("id") % 2).alias("n"),
+            F.when(F.col("id") % 2 == 0, F.lit(0.1)).alias("d"), F.col("user").cast("binary").alias("b"),
+            F.to_date(F.lit("2024-05-06")).alias("day"), F.lit(True).alias("yes"), F.lit("1.10").cast("decimal(9,2)").alias("sum"),
+            utc_instant("ts").alias("instant"),
+        )
+        return first_seen_stream(typed, ["n", "d", "b", "day", "yes", "sum"], "ts", ["id", "instant"], 30, slice_seconds=60)
+
+    stream = log(form, STATE_STORE)
+    rows = [(n, "u" if n % 5 else None, "x", 10 * n) for n in range(40)]
+    stream.land(rows[:20])
+    stream.land([*rows[20:], (999, "z", "z", FAR)])
+    found = spark.read.parquet(stream.out).where("id <> 999").collect()
+    wanted = {}
+    for n, user, _, _ in rows:
+        wanted.setdefault(((1 << 53) + 1 + n % 2 if n % 3 else None, 0.1 if n % 2 == 0 else None, user), n)
+    assert {(r["n"], r["d"], r["b"] and bytes(r["b"]).decode()): r["id"] for r in found} == wanted
+    assert len(found) == len(wanted) and {str(r["sum"]) for r in found} == {"1.10"} and all(r["yes"] for r in found)
+    assert spark.read.parquet(stream.out).where(utc_ntz(F.col("instant")) != F.col("ts")).count() == 0
+
+
+def test_keys_that_are_no_scalars_are_refused(spark, tmp_path):
+    stream = spark.readStream.schema("k array<int>, ts timestamp_ntz, id long").parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        first_seen_stream(stream, ["k"], "ts", ["id"], 30, slice_seconds=60)

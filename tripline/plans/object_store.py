@@ -29,35 +29,69 @@ def _from_outside() -> Column:
     return ~like_raw("source_ip_address", SERVICE_HOSTS)
 
 
+WRITE_KEYS = [
+    "event_name",
+    "aws_region",
+    "source_ip_address",
+    "user_agent",
+    "user_identity_type",
+    "user_identity_arn",
+    "bucket_name",
+]
+DELETION_KEYS = [
+    "user_identity_arn",
+    "user_identity_type",
+    "user_role",
+    "user_identity_access_key_id",
+    "recipient_account_id",
+    "event_name",
+    "event_source",
+    "source_ip_address",
+    "user_agent",
+    "bucket_name",
+]
+
+
+def writes_with_foreign_keys(cloudtrail: DataFrame, own_accounts: Sequence[str]) -> DataFrame:
+    """Object writes with a customer-managed key of an account that is not ours; ``failed`` tells whether one did."""
+    return (
+        cloudtrail.where(
+            F.col("event_name").isin(*WRITE_EVENTS)
+            & _from_outside()
+            & ~like_raw("request_kms_key_alias", MANAGED_KEYS)
+            & ~F.col("request_kms_key_aws_account").isin(*own_accounts)
+        )
+        .withColumn("bucket_name", doc_get("request_parameters", "bucketName"))
+        .withColumn("failed", F.col("response_kms_key").isNull() | F.col("error_code").isNotNull())
+    )
+
+
+def deletions_from_outside(cloudtrail: DataFrame, org_ips: DataFrame) -> DataFrame:
+    """Deletions from addresses that are neither a cloud service's nor the organisation's; ``failed`` tells whether one did."""
+    deletions = cloudtrail.where(
+        (F.col("event_source") == STORE) & _from_outside() & F.col("event_name").isin(*DELETE_EVENTS)
+    )
+    return (
+        exclude_known(deletions, "source_ip_address", org_ips, "ip")
+        .withColumn("user_role", role_of_session("user_identity_type", "user_identity_arn"))
+        .withColumn("bucket_name", doc_get("request_parameters", "bucketName"))
+        .withColumn("failed", F.col("error_code").isNotNull())
+    )
+
+
 def foreign_kms_encryption(cloudtrail: DataFrame, own_accounts: Sequence[str]) -> DataFrame:
     """Object writes with a customer-managed key of an account that is not ours.
 
     Per hour, origin and bucket: attempts that succeeded and failed, and the
     number of distinct objects. Events without a key alias or a key account drop out.
     """
-    writes = cloudtrail.where(
-        F.col("event_name").isin(*WRITE_EVENTS)
-        & _from_outside()
-        & ~like_raw("request_kms_key_alias", MANAGED_KEYS)
-        & ~F.col("request_kms_key_aws_account").isin(*own_accounts)
-    ).withColumn("bucket_name", doc_get("request_parameters", "bucketName"))
-    failed = F.col("response_kms_key").isNull() | F.col("error_code").isNotNull()
-    keys = [
-        "event_name",
-        "aws_region",
-        "source_ip_address",
-        "user_agent",
-        "user_identity_type",
-        "user_identity_arn",
-        "bucket_name",
-    ]
     return burst(
-        writes,
+        writes_with_foreign_keys(cloudtrail, own_accounts),
         "event_time",
         time_slice("event_time", HOUR),
-        keys,
-        [*outcome_counts(failed), F.count_distinct("object_key").alias("object_count")],
-    ).select("start_time", "end_time", *keys, "successful_attempts", "failed_attempts", "object_count")
+        WRITE_KEYS,
+        [*outcome_counts(F.col("failed")), F.count_distinct("object_key").alias("object_count")],
+    ).select("start_time", "end_time", *WRITE_KEYS, "successful_attempts", "failed_attempts", "object_count")
 
 
 def short_lifecycle(cloudtrail: DataFrame, max_days: int = 7, rule_lists: bool = False) -> DataFrame:
@@ -104,34 +138,11 @@ def object_deletion_burst(cloudtrail: DataFrame, org_ips: DataFrame, min_objects
     Kept are hours with more than ``min_objects`` distinct objects, and every
     hour with a bulk delete, whose object count the log does not tell.
     """
-    deletions = cloudtrail.where(
-        (F.col("event_source") == STORE) & _from_outside() & F.col("event_name").isin(*DELETE_EVENTS)
-    )
-    foreign = (
-        exclude_known(deletions, "source_ip_address", org_ips, "ip")
-        .withColumn("user_role", role_of_session("user_identity_type", "user_identity_arn"))
-        .withColumn("bucket_name", doc_get("request_parameters", "bucketName"))
-    )
-    keys = [
-        "user_identity_arn",
-        "user_identity_type",
-        "user_role",
-        "user_identity_access_key_id",
-        "recipient_account_id",
-        "event_name",
-        "event_source",
-        "source_ip_address",
-        "user_agent",
-        "bucket_name",
-    ]
     return burst(
-        foreign,
+        deletions_from_outside(cloudtrail, org_ips),
         "event_time",
         time_slice("event_time", HOUR),
-        keys,
-        [
-            *outcome_counts(F.col("error_code").isNotNull()),
-            F.count_distinct("object_key").alias("object_count"),
-        ],
+        DELETION_KEYS,
+        [*outcome_counts(F.col("failed")), F.count_distinct("object_key").alias("object_count")],
         (F.col("object_count") > min_objects) | (F.col("event_name") == BULK_DELETE),
-    ).select("start_time", "end_time", *keys, "successful_attempts", "failed_attempts", "object_count")
+    ).select("start_time", "end_time", *DELETION_KEYS, "successful_attempts", "failed_attempts", "object_count")

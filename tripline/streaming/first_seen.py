@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tripline.functions.timeops import utc_instant
@@ -55,6 +56,20 @@ class _LastSeen(StatefulProcessor):
         pass
 
 
+def _as_text(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise ValueError("keys and ties must be scalars")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("string")
+    return F.hex(column) if isinstance(kind, T.BinaryType) else column.cast("string")
+
+
+def _from_text(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(column.cast("long"))
+    return F.unhex(column) if isinstance(kind, T.BinaryType) else column.cast(kind)
+
+
 def first_seen_stream(
     stream: DataFrame,
     keys: list[str],
@@ -89,16 +104,18 @@ def first_seen_stream(
         .agg(F.min(shown).alias("_first"), F.max(time_col).alias("_last"))
         .select(F.window_time("_slice"), *keys, "_first.*", micros(F.col("_first")[time_col]), micros("_last"))
     )
-    # Python renames columns whose names are no plain words, so they go by number there.
+    # Python renames columns whose names are no plain words and turns numbers that may be NULL into others, so columns go by
+    # number and as text there.
     names = [*keys, time_col, *tie_break]
+    kinds = [stream.schema[name].dataType for name in names]
     numbers = [f"c{number}" for number in range(len(names))]
-    fields = ", ".join(f"{number} {stream.schema[name].dataType.simpleString()}" for number, name in zip(numbers, names))
+    fields = ", ".join(f"{number} string" for number in numbers)
     return (
         slices.toDF("at", *numbers, "begins", "ends")
+        .withColumns({number: _as_text(F.col(number), kind) for number, kind in zip(numbers, kinds)})
         .groupBy(*numbers[: len(keys)])
         .transformWithStateInPandas(
             _LastSeen(silence, slice_seconds), f"at timestamp, {fields}, begins long, ends long", outputMode="Append", timeMode="EventTime"
         )
-        .select(*numbers)
-        .toDF(*names)
+        .select(*[_from_text(F.col(number), kind).alias(name) for number, kind, name in zip(numbers, kinds, names)])
     )
