@@ -357,7 +357,8 @@ def _clean_with(automaton: Broadcast):
             rows = [clean_text(text, automaton.value) for text in texts]
             yield pd.DataFrame(rows, columns=["text", "n_words", "n_hit"])
 
-    return clean
+    # Spark would otherwise clean every text twice, for the filter and for the result, with two workers per task.
+    return clean.asNondeterministic()
 
 
 @F.pandas_udf(T.StringType())
