@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripline.functions.timeops import time_slice, utc_instant, utc_ntz
 from tripline.operators.aggs import burst
 from tripline.operators.intervals import interval_join
-from tripline.streaming import burst_stream, drain, first_seen_stream, interval_join_stream
+from tripline.streaming import burst_stream, drain, first_seen_stream, interval_join_stream, runs
 from tripline.streaming.first_seen import STATE_STORE
 
 SCHEMA = "id long, user string, kind string, ts timestamp_ntz"
@@ -105,6 +105,18 @@ def test_bursts_equal_the_batch_form(spark, log, seed):
     assert stream.rows() == sorted((tuple(r) for r in batch.collect()), key=repr)
 
 
+def test_figures_are_sums_over_all_batches(spark, tmp_path, monkeypatch):
+    """Six batches of one file each; with few of them kept, the sum would be too small."""
+    for n in range(6):
+        spark.range(1).selectExpr(f"{n}L AS id", "'u' AS user", "'x' AS kind", "timestamp_ntz'2024-03-01' AS ts").coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{tmp_path}/land")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/land").select("id")
+    assert drain(stream, f"{tmp_path}/out", f"{tmp_path}/check").rows == 6
+    monkeypatch.setattr(runs, "_ALL_PROGRESS", {"spark.sql.streaming.numRecentProgressUpdates": "2"})
+    assert drain(stream, f"{tmp_path}/out2", f"{tmp_path}/check2").rows < 6
+
+
 def test_two_distinct_counts_are_refused(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
     with pytest.raises(ValueError):

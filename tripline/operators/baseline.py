@@ -65,7 +65,8 @@ class KnownTuples:
         with settings(self.spark, {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}):
             writer = self.rows().write.format("parquet").bucketBy(self.buckets, *self.columns).sortBy(*self.columns)
             writer.option("path", folder).saveAsTable(aside)
-        # Both tables keep their files where they are; only the names change.
-        self.spark.sql(f"DROP TABLE {self.name}")
+        # Both tables keep their files where they are; only the names change, and the old one goes last.
+        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {aside}_old")
         self.spark.sql(f"ALTER TABLE {aside} RENAME TO {self.name}")
+        self.spark.sql(f"DROP TABLE {aside}_old")
         self.spark.catalog.refreshTable(self.name)

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from tripline.session import settings
 
 
+#: A run's figures are sums over its batches, so Spark has to keep all of them.
+_ALL_PROGRESS = {"spark.sql.streaming.numRecentProgressUpdates": "1000000"}
+
+
 @dataclass(frozen=True)
 class Drained:
     """What a run did: rows read, rows that were late, rows left in state."""
@@ -30,7 +34,7 @@ def drain(found: DataFrame, path: str, checkpoint: str, state_store: dict[str, s
     that the stream's operators ask for.
     """
     writer = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    with settings(found.sparkSession, state_store or {}):
+    with settings(found.sparkSession, {**_ALL_PROGRESS, **(state_store or {})}):
         query = writer.outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     progress = [json.loads(one.json) for one in query.recentProgress]
