@@ -238,3 +238,26 @@ def test_keys_that_are_no_scalars_are_refused(spark, tmp_path):
     stream = spark.readStream.schema("k array<int>, ts timestamp_ntz, id long").parquet(str(tmp_path))
     with pytest.raises(ValueError):
         first_seen_stream(stream, ["k"], "ts", ["id"], 30, slice_seconds=60)
+
+
+@pytest.mark.parametrize("silence", [None, 100])
+def test_many_keys_share_few_state_rows(log, silence):
+    """A run calls Python per bucket of keys, not per key; keys come back in later runs, and some after a silence."""
+    state = random.Random(7)
+    rows = [(n, f"u{n % 3001}", "x" if n % 2 else None, 100 * (n // 4000) + n % 60) for n in range(12000)]
+    rows += [(20000 + n, f"u{n}", "new", state.randrange(200, 260)) for n in range(0, 3001, 3)]
+    stream = log(first(silence), STATE_STORE)
+    assert stream.land([row for row in rows if row[3] < 150]).late == 0
+    assert stream.land([row for row in rows if row[3] >= 150]).late == 0
+    done = stream.land([(99999, "z", "z", FAR)])
+    assert stream.rows() == brute_first(rows, silence)
+    assert done.state_rows < 600
+
+
+def test_keys_that_look_alike_when_joined(log):
+    stream = log(first(None), STATE_STORE)
+    pairs = [("1:a", "b"), ("1", "a1:b"), ("-", None), (None, "-"), ("", None), (None, ""), ("-1:b", None), (None, None), ("", "")]
+    rows = [(n, user, kind, n) for n, (user, kind) in enumerate(pairs)]
+    stream.land([*rows, *[(100 + n, user, kind, 70 + n) for n, user, kind, _ in rows]])
+    stream.land([(999, "z", "z", FAR)])
+    assert stream.rows() == brute_first(rows, None)
