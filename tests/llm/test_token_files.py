@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,6 +45,23 @@ def test_random_words_and_a_tokenizer_that_prepares_text_in_another_way():
     assert [ids.tolist() for ids in other.encode(pa.array([*texts, None], pa.string()))] == wanted
 
 
+def test_many_words_are_learned_once_and_held_in_few_bytes(monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(word) for word in itertools.islice(itertools.product(letters, repeat=5), 260_000)]
+    encoder, learned = token_files.WordEncoder(PATH), []
+    learn = encoder._learn_pieces
+    monkeypatch.setattr(encoder, "_learn_pieces", lambda new: learned.append(len(new)) or learn(new))
+    texts = pa.array([" ".join(words[n : n + 1000]) for n in range(0, len(words), 1000)])
+    tracemalloc.start()
+    first = [ids.tolist() for ids in encoder.encode(texts)[:5]]
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    tracemalloc.stop()
+    assert [ids.tolist() for ids in encoder.encode(texts[:5])] == first == reference(texts[:5].to_pylist())
+    # One more piece: no marks.
+    assert sum(learned) <= len(words) + 1
+    assert held < 100 * len(words)
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 129, 5000, 140_000])
 def test_blocks_round_trip_and_decode_by_stretch(size):
     state = np.random.default_rng(size)

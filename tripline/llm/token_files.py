@@ -18,9 +18,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,9 @@ BLOCK_IDS = 1 << 20
 #: Characters that are encoded together.
 _SLICE_CHARS = 1 << 22
 #: Words that a task remembers.
-_REMEMBERED = 250_000
+_REMEMBERED = 500_000
+#: Words whose ids are put together at a time.
+_ASSEMBLED_WORDS = 1 << 16
 #: Latin letters whose lower case and composed form do not depend on what stands around them, then ASCII marks.
 _LETTERS_AND_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
@@ -72,8 +74,50 @@ _CUT = {
 }
 
 
-def _byte_letters(piece: str) -> str:
-    return piece.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+# The letter of each byte; the line feed between pieces stays.
+_LETTER_OF = np.array([ord(_BYTE_LETTERS.get(byte, chr(byte))) for byte in range(256)], dtype="<u4")
+_LETTER_OF[ord("\n")] = ord("\n")
+
+
+def _byte_letters(pieces: list[str]) -> list[str]:
+    """Pieces, none of which has a line feed, as a byte-level vocabulary writes them."""
+    joined = np.frombuffer("\n".join(pieces).encode("utf-8"), dtype=np.uint8)
+    return _LETTER_OF[joined].tobytes().decode("utf-32-le").split("\n") if pieces else []
+
+
+class _Runs:
+    """Numbered strings and the ids each of them stands for."""
+
+    def __init__(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def numbers(self, names: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of different names; ``learn`` gives how many ids each new one has, and these ids."""
+        found = pc.index_in(names, value_set=self.names)
+        new = names.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            at[at < 0] = len(self) + np.arange(len(new))
+            lengths, ids = learn(new)
+            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.pool = np.concatenate((self.pool, ids))
+            self.names = pa.concat_arrays([self.names, new])
+        return at
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some numbers has, and the ids of all of them in this order."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        return lengths, self.pool[places]
 
 
 class WordEncoder:
@@ -96,47 +140,36 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Give back what the words seen so far take."""
-        self._words: dict[str, int] = {}
-        self._first = np.zeros(0, dtype=np.int64)
-        self._second = np.zeros(0, dtype=np.int64)
-        self._pieces: dict[str, int] = {}
-        self._starts = np.zeros(0, dtype=np.int64)
-        self._lengths = np.zeros(0, dtype=np.int64)
-        self._pool = np.zeros(0, dtype=np.uint32)
+        self._words, self._pieces = _Runs(), _Runs()
         pa.default_memory_pool().release_unused()
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Which pieces new words are made of. No piece has a blank, so one in front tells words that are a piece as they are."""
-        words, pieces = pa.array(new, pa.string()), self._pieces
+    def _learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words by their pieces. No piece has a blank, so one in front tells words that are a piece as they are."""
         found = pc.extract_regex(words, _LETTERS_AND_MARKS)
         whole = pc.binary_join_element_wise("", words, " ")
         first = pc.if_else(found.is_null(), whole, pc.utf8_lower(pc.struct_field(found, "letters")))
-        marks = pc.struct_field(found, "marks")
-        marks = pc.if_else(pc.equal(marks, ""), pa.scalar(None, pa.string()), marks)
+        # NULL where a word is no letters and marks; without marks an empty piece, which has no ids.
+        marks = pc.struct_field(found, "marks").fill_null("")
         coded = pa.concat_arrays([first, marks]).dictionary_encode()
-        distinct, known = coded.dictionary.to_pylist(), len(pieces)
-        number = np.array([pieces.setdefault(piece, len(pieces)) for piece in distinct], dtype=np.int64)
-        at = coded.indices.fill_null(-1).to_numpy()
-        at = np.where(at >= 0, number[at], -1)
-        self._first = np.concatenate((self._first, at[: len(new)]))
-        self._second = np.concatenate((self._second, at[len(new) :]))
-        if len(pieces) > known:
-            self._learn_pieces(list(islice(pieces, known, None)))
-
-    def _learn_pieces(self, new: list[str]) -> None:
+        at = self._pieces.numbers(coded.dictionary, self._learn_pieces)[coded.indices.to_numpy()]
+        lengths, ids = self._pieces.ids(at.reshape(2, -1).T.ravel())
+        return lengths.reshape(-1, 2).sum(axis=1), ids
+
+    def _learn_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces: letters and marks need the merges only, other pieces the whole tokenizer."""
         merge, whole = self.tokenizer.model.tokenize, self.tokenizer.encode
-        found = [
-            whole(piece[1:], add_special_tokens=False).ids
-            if piece[0] == " "
-            else [token.id for token in merge(piece if piece.isascii() else _byte_letters(piece))]
-            for piece in new
-        ]
-        counts = np.array(list(map(len, found)), dtype=np.int64)
-        ends = len(self._pool) + np.cumsum(counts)
-        self._starts = np.concatenate((self._starts, ends - counts))
-        self._lengths = np.concatenate((self._lengths, counts))
-        self._pool = np.concatenate((self._pool, np.fromiter(chain.from_iterable(found), np.uint32, counts.sum())))
+        pieces = new.to_pylist()
+        found: list[list[int]] = [[] for _ in pieces]
+        other = [at for at, piece in enumerate(pieces) if not piece.isascii() and piece[0] != " "]
+        for at, letters in zip(other, _byte_letters([pieces[at] for at in other])):
+            pieces[at] = letters
+        for at, piece in enumerate(pieces):
+            if piece[:1] == " ":
+                found[at] = whole(piece[1:], add_special_tokens=False).ids
+            elif piece:
+                found[at] = [token.id for token in merge(piece)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum())
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
@@ -148,22 +181,22 @@ class WordEncoder:
         if len(self._words) > _REMEMBERED:
             self.forget()
         split = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
         coded = split.flatten().dictionary_encode()
-        distinct, words = coded.dictionary.to_pylist(), self._words
-        known = len(words)
-        at = np.array([words.setdefault(word, len(words)) for word in distinct], dtype=np.int64)
-        if len(words) > known:
-            self._learn_words(list(islice(words, known, None)))
-        at = at[coded.indices.to_numpy()]
-        pieces = np.column_stack((self._first[at], self._second[at])).ravel()
-        there = pieces >= 0
-        lengths = np.where(there, self._lengths[pieces], 0) if len(pieces) else pieces
-        by_word = np.concatenate(([0], np.cumsum(lengths)))[::2]
-        pieces, lengths = pieces[there], lengths[there]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._pool[np.repeat(self._starts[pieces] - (ends - lengths), lengths) + np.arange(total)]
-        return np.split(ids, by_word[np.cumsum(split.value_lengths().to_numpy())[:-1]])
+        del split
+        at = self._words.numbers(coded.dictionary, self._learn_words)
+        indices = coded.indices.to_numpy()
+        found: list[np.ndarray] = []
+        # The ids of some texts at a time: their places take several times as much memory.
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + _ASSEMBLED_WORDS, side="right")))
+            lengths, ids = self._words.ids(at[indices[before : ends[last - 1]]])
+            by_word = np.concatenate(([0], np.cumsum(lengths)))
+            found += np.split(ids, by_word[ends[first : last - 1] - before])
+            first = last
+        return found
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
