@@ -62,6 +62,20 @@ def test_many_words_are_learned_once_and_held_in_few_bytes(monkeypatch):
     assert held < 100 * len(words)
 
 
+def test_loading_and_learning_take_little_python_memory():
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(word) for word in itertools.islice(itertools.product(letters, repeat=4), 60_000)]
+    texts = pa.array([" ".join(words)])
+    tracemalloc.start()
+    encoder = token_files.WordEncoder(PATH)
+    loaded = tracemalloc.get_traced_memory()[1]
+    encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert encoder.by_words and loaded < 2_000_000
+    assert most < 10_000_000
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 129, 5000, 140_000])
 def test_blocks_round_trip_and_decode_by_stretch(size):
     state = np.random.default_rng(size)

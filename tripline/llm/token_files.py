@@ -40,6 +40,8 @@ BLOCK_IDS = 1 << 20
 _SLICE_CHARS = 1 << 22
 #: Words that a task remembers.
 _REMEMBERED = 500_000
+#: Pieces that are Python objects at a time.
+_MERGED_PIECES = 1 << 13
 #: Words whose ids are put together at a time.
 _ASSEMBLED_WORDS = 1 << 16
 #: Latin letters whose lower case and composed form do not depend on what stands around them, then ASCII marks.
@@ -133,9 +135,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        spec = json.loads(self.tokenizer.to_str())
+        # Only these parts: the whole file as Python objects takes several times as much memory as the tokenizer.
+        parts = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        spec = tuple(part and json.loads(part.__getstate__()) for part in parts)
         #: The short way holds for files that prepare text and cut pieces in this way; others encode whole texts.
-        self.by_words = (spec["normalizer"], spec["pre_tokenizer"]) == (_PREPARED, _CUT) and not spec["truncation"]
+        self.by_words = spec == (_PREPARED, _CUT) and not self.tokenizer.truncation
         self.forget()
 
     def forget(self) -> None:
@@ -156,9 +160,13 @@ class WordEncoder:
         return lengths.reshape(-1, 2).sum(axis=1), ids
 
     def _learn_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new pieces: letters and marks need the merges only, other pieces the whole tokenizer."""
+        """Ids of new pieces, of some at a time: as Python objects they take many times as much memory."""
+        parts = [self._merged(new[at : at + _MERGED_PIECES].to_pylist()) for at in range(0, len(new), _MERGED_PIECES)]
+        return np.concatenate([lengths for lengths, _ in parts]), np.concatenate([ids for _, ids in parts])
+
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters and marks need the merges only, other pieces the whole tokenizer."""
         merge, whole = self.tokenizer.model.tokenize, self.tokenizer.encode
-        pieces = new.to_pylist()
         found: list[list[int]] = [[] for _ in pieces]
         other = [at for at, piece in enumerate(pieces) if not piece.isascii() and piece[0] != " "]
         for at, letters in zip(other, _byte_letters([pieces[at] for at in other])):
