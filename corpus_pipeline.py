@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripline.llm import token_files
-from tripline.llm.common import bounded_batches, table
+from tripline.llm.common import lean_batches, table
 from tripline.llm.decontam import remove_contamination
 from tripline.llm.mixing import mixed_documents
 from tripline.llm.rules import keep_accepted, learn_rules
@@ -15,31 +15,31 @@ from tripline.llm.simhash import keep_one_per_group
 from tripline.operators.workdir import WorkDir
 
 
-@bounded_batches
+@lean_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the decision list learned from ``labels`` reject go."""
     return keep_accepted(docs, learn_rules(docs, table(spark, sf_dir, "labels")))
 
 
-@bounded_batches
+@lean_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays (three words, two bits, as in ``op8``)."""
     return keep_one_per_group(docs, WorkDir.for_session(spark))
 
 
-@bounded_batches
+@lean_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ``benchmark`` are cut out of texts; documents that are mostly such passages go."""
     return remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
-@bounded_batches
+@lean_batches
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixed_documents(docs, WorkDir.for_session(spark))
 
 
-@bounded_batches
+@lean_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, read back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     import public_tokenizers
@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-@bounded_batches
+@lean_batches
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what each stage keeps is written and read again."""
     work = WorkDir.for_session(spark)

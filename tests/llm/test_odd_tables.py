@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.conftest import DOCUMENTS
-from tripline.llm import chat, language, quality, rules, toxicity
+from tripline.llm import chat, common, language, quality, rules, token_files, toxicity
 
 LONG = "word and the other of river " * 40_000
 
@@ -45,6 +47,33 @@ def test_the_pipeline_with_repeated_ids_nulls_and_a_long_text(spark, tables):
     assert len({text for _, text in kept["near_dedup"]}) == len(kept["near_dedup"])
 
 
+def test_the_pipeline_passes_few_bytes_at_a_time_however_long_texts_are(spark, tmp_path, monkeypatch):
+    real, folder = token_files._raw_blocks, str(tmp_path)
+
+    def spying(*given):
+        run = real(*given)
+
+        def spied(batches):
+            def seen():
+                for batch in batches:
+                    with open(f"{folder}/{uuid4().hex}", "w") as file:
+                        file.write(str(batch.nbytes))
+                    yield batch
+
+            yield from run(seen())
+
+        return spied
+
+    monkeypatch.setattr(token_files, "_raw_blocks", spying)
+    rows = [(n, f"word{n} and the other of river " * 4_000, None, "a", 1) for n in range(120)]
+    found = corpus_pipeline.tokens(spark, spark.createDataFrame(rows, DOCUMENTS), folder).select("doc_id").collect()
+    sizes = [int(file.read_text()) for file in tmp_path.iterdir()]
+    assert sorted(r["doc_id"] for r in found) == [*range(120)] and sum(sizes) > 12_000_000
+    # A batch closes with the row that brings it to the bound.
+    assert max(sizes) < common.BATCH_BYTES + 300_000
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= common.READ_ROWS
+
+
 def test_learned_operators_read_a_very_long_text_whole(spark, documents):
     rows = [(n, f"good river stone {n} " * 12 if n % 2 else f"bad!!! scum ### {n} " * 12, "en" if n % 2 else "de") for n in range(80)]
     docs = documents([*rows, (500, LONG), (500, LONG), (501, f"{LONG} scum")])

@@ -13,6 +13,9 @@ INNER = "__tl_"
 
 #: Rows that pass to a Python worker at a time; texts are long.
 BATCH_ROWS = 1_000
+#: Where memory is scarce: bytes of a batch after which no row joins it, and rows that a file reader holds as columns.
+BATCH_BYTES = 1 << 20
+READ_ROWS = 256
 
 
 def bounded_batches(job: Callable) -> Callable:
@@ -27,6 +30,24 @@ def bounded_batches(job: Callable) -> Callable:
     return run
 
 
+def lean_batches(job: Callable) -> Callable:
+    """``bounded_batches`` that also bounds a batch in bytes, and what a reader of Parquet holds of long texts.
+
+    4,096 long texts or a few token blocks at a time are arrays of 16 MB and more, in the heap and
+    beside it; a heap in pieces grows for each of them and is not given back.
+    """
+
+    @wraps(job)
+    def run(spark: SparkSession, *rest):
+        if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+            spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+        return bounded_batches(job)(spark, *rest)
+
+    return run
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return; UTF-8."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
